@@ -7,24 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
 from .linededup import dedup_lines
+from .media import encode_media, media_features
 from .sharding import layout, shard_documents
+from .spans import dedup_spans
 from .tokenfile import tokens_on_disk
+from .topk import top_products
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_on_disk(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), layout(40), layout(41))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = staged(encode_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    return media_features(stored)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -49,9 +67,49 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP1_SQL = r"""
+WITH units AS (
+  SELECT doc_id, generate_subscripts(u, 1) AS pos, unnest(u) AS unit
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+') AS u FROM documents)),
+plain AS (
+  SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\r]+', ' ', 'g'), ' ') AS s FROM units),
+spans AS (
+  SELECT doc_id, pos,
+         s || chr(10) || lead(s) OVER w || chr(10) || lead(s, 2) OVER w AS span,
+         len(string_split(s, ' ')) + len(string_split(lead(s) OVER w, ' ')) + len(string_split(lead(s, 2) OVER w, ' ')) AS words
+  FROM plain WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+firsts AS (
+  SELECT span, min(row(doc_id, pos)) AS f FROM spans WHERE span IS NOT NULL AND words >= 12 GROUP BY span HAVING count(*) > 1),
+hit AS (
+  SELECT DISTINCT doc_id, pos + k AS pos
+  FROM (SELECT spans.doc_id, spans.pos FROM spans JOIN firsts ON spans.span = firsts.span
+        WHERE row(spans.doc_id, spans.pos) <> firsts.f), (SELECT unnest([0, 1, 2]) AS k)),
+marked AS (
+  SELECT units.*, hit.pos IS NOT NULL AS gone FROM units LEFT JOIN hit ON units.doc_id = hit.doc_id AND units.pos = hit.pos)
+SELECT d.doc_id, count(m.pos) AS n_sentences, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(unit, '' ORDER BY m.pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.c, v.c), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v AS q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op6_hash_tree_shards, op9_line_dedup)}
+    return {f.__name__: f for f in (
+        op1_substring_dedup, op3_token_files, op4_exact_top_k, op6_hash_tree_shards, op8_media_columns, op9_line_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL}
