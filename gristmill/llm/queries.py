@@ -73,17 +73,18 @@ WITH units AS (
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+') AS u FROM documents)),
 plain AS (
   SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\r]+', ' ', 'g'), ' ') AS s FROM units),
+sized AS (SELECT *, len(string_split(s, ' ')) AS w FROM plain),
 spans AS (
-  SELECT doc_id, pos,
-         s || chr(10) || lead(s) OVER w || chr(10) || lead(s, 2) OVER w AS span,
-         len(string_split(s, ' ')) + len(string_split(lead(s) OVER w, ' ')) + len(string_split(lead(s, 2) OVER w, ' ')) AS words
-  FROM plain WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-firsts AS (
-  SELECT span, min(row(doc_id, pos)) AS f FROM spans WHERE span IS NOT NULL AND words >= 12 GROUP BY span HAVING count(*) > 1),
+  SELECT doc_id, pos, 1 AS length, s AS span FROM sized WHERE w >= 25
+  UNION ALL
+  SELECT doc_id, pos, 2 AS length, s || chr(10) || next_s AS span
+  FROM (SELECT *, lead(s) OVER o AS next_s, lead(w) OVER o AS next_w FROM sized WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+  WHERE w + next_w >= 14),
+firsts AS (SELECT span, length, min(row(doc_id, pos)) AS f FROM spans GROUP BY span, length HAVING count(*) > 1),
 hit AS (
   SELECT DISTINCT doc_id, pos + k AS pos
-  FROM (SELECT spans.doc_id, spans.pos FROM spans JOIN firsts ON spans.span = firsts.span
-        WHERE row(spans.doc_id, spans.pos) <> firsts.f), (SELECT unnest([0, 1, 2]) AS k)),
+  FROM (SELECT spans.doc_id, spans.pos, spans.length FROM spans JOIN firsts ON spans.span = firsts.span AND spans.length = firsts.length
+        WHERE row(spans.doc_id, spans.pos) <> firsts.f), (SELECT unnest([0, 1]) AS k) WHERE k < length),
 marked AS (
   SELECT units.*, hit.pos IS NOT NULL AS gone FROM units LEFT JOIN hit ON units.doc_id = hit.doc_id AND units.pos = hit.pos)
 SELECT d.doc_id, count(m.pos) AS n_sentences, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,

@@ -11,10 +11,10 @@ from .common import P, as_row, staged, with_outputs
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+"
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 3, min_words: int = 12) -> DataFrame:
-    """Hashes every run of ``sentences`` consecutive sentences that has at least ``min_words`` words, compared in
-    lower case with white space made one space, and removes the sentences that any run covers which is
-    not the first of its hash by (id, position).
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, min_words: int = 14, long_words: int = 25) -> DataFrame:
+    """Hashes every run of ``sentences`` consecutive sentences that has at least ``min_words`` words, and every
+    sentence of at least ``long_words`` words, compared in lower case with white space made one space.
+    Removes the sentences that any run covers which is not the first of its hash by (id, position).
 
     Returns the input's columns with the text reassembled, and n_sentences (before) and n_removed.  A null
     or empty text has no sentences and becomes ''.  A text with fewer sentences has no run and stays.
@@ -26,22 +26,25 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(SENTENCE), F.lit(0))
     base = docs.select(F.col(id_col).alias(P + "id"), F.xxhash64(text_col).alias(P + "t"), parts.alias(P + "parts")).where(F.col(P + "id").isNotNull())
     plain = F.transform(P + "parts", lambda s: F.btrim(F.regexp_replace(F.lower(s), r"[ \t\n\r]+", " ")))
-    each = F.transform(plain, lambda s: F.struct(F.unhex(F.md5(F.encode(s, "UTF-8"))).alias("h"), F.size(F.split(s, " ", -1)).alias("w")))
-    base = base.select(*key, each.alias(P + "each"), F.size(P + "parts").alias(P + "n")).where(F.col(P + "n") >= sentences)
-    windows = [F.slice(P + "each", F.lit(i + 1), F.col(P + "n") - (sentences - 1)) for i in range(sentences)]
-    zipped = F.arrays_zip(*(w.alias(f"w{i}") for i, w in enumerate(windows)))
-    run = F.transform(zipped, lambda z: F.struct(
-        F.unhex(F.md5(F.concat(*(z[f"w{i}"]["h"] for i in range(sentences))))).alias("h"),
-        sum((z[f"w{i}"]["w"] for i in range(1, sentences)), z["w0"]["w"]).alias("w"),
-    ))
-    rows = base.select(*key, F.posexplode(run).alias(P + "pos", P + "run")).where(F.col(P + "run")["w"] >= min_words)
-    rows = rows.select(*key, P + "pos", F.col(P + "run")["h"].alias(P + "h"))
+    each = F.transform(plain, lambda s, i: F.struct(F.unhex(F.md5(F.encode(s, "UTF-8"))).alias("h"), F.size(F.split(s, " ", -1)).alias("w"), i.alias("pos")))
+    base = base.select(*key, each.alias(P + "each"), F.size(P + "parts").alias(P + "n"))
+
+    def runs(length: int, words: int):
+        windows = [F.slice(P + "each", F.lit(i + 1), F.greatest(F.col(P + "n") - (length - 1), F.lit(0))).alias(f"w{i}") for i in range(length)]
+        made = F.transform(F.arrays_zip(*windows), lambda z: F.struct(
+            F.unhex(F.md5(F.concat(*(z[f"w{i}"]["h"] for i in range(length))))).alias("h"), z["w0"]["pos"].alias("pos"), F.lit(length).alias("length"),
+            sum((z[f"w{i}"]["w"] for i in range(1, length)), z["w0"]["w"]).alias("w"),
+        ))
+        return F.filter(made, lambda r: r["w"] >= words)
+
+    rows = base.select(*key, F.explode(F.concat(runs(sentences, min_words), runs(1, long_words))).alias(P + "run"))
+    rows = rows.select(*key, F.col(P + "run")["pos"].alias(P + "pos"), F.col(P + "run")["length"].alias(P + "length"), F.col(P + "run")["h"].alias(P + "h"))
     at = F.struct(*key, F.col(P + "pos"))
     found = rows.groupBy(P + "h").agg(F.min(at).alias(P + "first"), F.max(at).alias(P + "last"))
     repeated = staged(found.where(F.col(P + "first") != F.col(P + "last")).select(P + "h", P + "first"), "runs")
     later = rows.join(repeated, P + "h").where(at != F.col(P + "first"))
-    gone = later.groupBy(P + "id", P + "t").agg(F.collect_set(P + "pos").alias(P + "pos"))
-    spread = F.flatten(F.transform(P + "pos", lambda p: F.transform(F.sequence(F.lit(0), F.lit(sentences - 1)), lambda i: p + i)))
+    gone = later.groupBy(P + "id", P + "t").agg(F.collect_set(F.struct(P + "pos", P + "length")).alias(P + "runs"))
+    spread = F.flatten(F.transform(P + "runs", lambda r: F.sequence(r[P + "pos"], r[P + "pos"] + r[P + "length"] - 1)))
     gone = gone.select(*key, F.array_distinct(spread).alias(P + "gone"))
     whole = docs.select(as_row(docs), F.col(id_col).alias(P + "id"), F.xxhash64(text_col).alias(P + "t"), F.coalesce(F.col(text_col), F.lit("")).alias(P + "text"))
     whole = whole.join(gone, [P + "id", P + "t"], "left").withColumn(P + "parts", F.regexp_extract_all(P + "text", F.lit(SENTENCE), F.lit(0)))
