@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .linededup import dedup_lines
 from .media import encode_media, media_features
+from .mixing import mix_counts
 from .sharding import layout, shard_documents
 from .spans import dedup_spans
 from .tokenfile import tokens_on_disk
@@ -33,6 +34,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), layout(40), layout(41))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -108,7 +113,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op3_token_files, op4_exact_top_k, op6_hash_tree_shards, op8_media_columns, op9_line_dedup,
+        op1_substring_dedup, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op8_media_columns, op9_line_dedup,
     )}
 
 
