@@ -11,6 +11,7 @@ from .common import staged
 from .linededup import dedup_lines
 from .media import encode_media, media_features
 from .mixing import mix_counts
+from .quality import fit_quality, held_out, score_documents
 from .sharding import layout, shard_documents
 from .spans import dedup_spans
 from .tokenfile import tokens_on_disk
@@ -53,6 +54,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    out = score_documents(docs.select("doc_id", "text", "n_chars"), machine)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 OP9_SQL = """
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
@@ -113,7 +121,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op8_media_columns, op9_line_dedup,
+        op1_substring_dedup, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op8_media_columns, op9_line_dedup, op10_quality_classifier,
     )}
 
 
