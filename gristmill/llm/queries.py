@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .linededup import dedup_lines
 from .media import encode_media, media_features
+from .minhash import near_duplicates
 from .mixing import mix_counts
 from .quality import fit_quality, held_out, score_documents
 from .sharding import layout, shard_documents
@@ -44,6 +45,10 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = staged(encode_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
     return media_features(stored)
@@ -121,7 +126,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op8_media_columns, op9_line_dedup, op10_quality_classifier,
+        op1_substring_dedup, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op7_minhash_classes, op8_media_columns, op9_line_dedup, op10_quality_classifier,
     )}
 
 
