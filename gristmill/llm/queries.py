@@ -12,6 +12,7 @@ from .linededup import dedup_lines
 from .media import encode_media, media_features
 from .minhash import near_duplicates
 from .mixing import mix_counts
+from .packing import pack_documents
 from .quality import fit_quality, held_out, score_documents
 from .sharding import layout, shard_documents
 from .spans import dedup_spans
@@ -28,6 +29,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_on_disk(spark, table(spark, sf_dir, "documents"))
 
@@ -126,7 +131,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op7_minhash_classes, op8_media_columns, op9_line_dedup, op10_quality_classifier,
+        op1_substring_dedup, op2_retrieval_packing, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op7_minhash_classes, op8_media_columns, op9_line_dedup, op10_quality_classifier,
     )}
 
 
