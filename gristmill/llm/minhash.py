@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import as_row, staged
 from .components import components
 
 #: Hash bins of words' document frequencies: the size of what every executor holds of the corpus.
@@ -220,3 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grouped.groupBy("root").agg(F.min("id").alias("class_id"))
     classes = staged(grouped.join(staged(least, "classes"), "root").select("h", "class_id"), "members")
     return signed.select("id", "h").join(classes, "h", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
+
+
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of each class's least id, in the input's columns; a row repeated with its id and text stays once,
+    rows with a null id stay."""
+    classes = near_duplicates(docs, id_col, text_col, **options)
+    kept = classes.where(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("__gm_id")).distinct()
+    rows = docs.select(as_row(docs), F.col(id_col).alias("__gm_id"), F.xxhash64(text_col).alias("__gm_t"))
+    alone = rows.where("__gm_id is null").select("__gm_row.*")
+    turn = F.row_number().over(Window.partitionBy("__gm_id", "__gm_t").orderBy("__gm_id"))
+    return rows.join(kept, "__gm_id", "left_semi").withColumn("__gm_turn", turn).where("__gm_turn = 1").select("__gm_row.*").unionByName(alone)
