@@ -1,15 +1,14 @@
-"""Queries of the analytics operators over the synthetic tables, and their SQL."""
+"""All queries of the analytics operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import features, matching, models, relations, scores  # noqa: F401  they register queries
+from .registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
