@@ -1 +1,176 @@
-"""Queries."""
+"""Metrics, curves, bands and attribution summaries over the proxy tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import cosine
+from ..operators import bands, metrics, ranking
+from .registry import query, rounded, score
+
+SCORED = "SELECT l.doc_id, l.quality AS y, (d.n_chars % 97) / 97.0 AS p FROM labels l JOIN documents d USING (doc_id)"
+POINTS = f"""s AS ({SCORED}),
+g AS (SELECT p AS threshold, sum(y) AS t, count(*) - sum(y) AS f FROM s GROUP BY 1),
+c AS (SELECT *, sum(t) OVER (ORDER BY threshold DESC) AS tp, sum(f) OVER (ORDER BY threshold DESC) AS fp, sum(t) OVER () AS pos, sum(f) OVER () AS neg FROM g)"""
+VECTORS = """v AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"""
+SCORES = f"""{VECTORS}, s AS (SELECT vec_id, round(sum(x), 4) AS score FROM v GROUP BY 1)"""
+
+
+def scored(t):
+    return t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("quality").alias("y"), score().alias("p"))
+
+
+def vectors(t):
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return t.embeddings.select("vec_id", "embedding", F.round(total, 4).alias("score"))
+
+
+@query(f"WITH s AS ({SCORED}) SELECT round(sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) / count(*), 6) AS roc_auc FROM s a, s b WHERE a.y = 1 AND b.y = 0")
+def m8_auc(t):
+    return rounded(metrics.roc_auc(scored(t)), "roc_auc")
+
+
+@query(f"WITH {POINTS} SELECT round(sum(t / pos * tp / (tp + fp)), 6) AS average_precision FROM c")
+def m9_average_precision(t):
+    return rounded(metrics.average_precision(scored(t)), "average_precision")
+
+
+@query(f"WITH s AS ({SCORED}) SELECT round(avg((p - y) * (p - y)), 6) AS brier FROM s")
+def m10_brier(t):
+    return rounded(metrics.brier(scored(t)), "brier")
+
+
+@query(f"""
+WITH s AS ({SCORED}), c AS (SELECT CAST(sum(CASE WHEN p >= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN p >= 0.5 AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+ CAST(sum(CASE WHEN p < 0.5 AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN p < 0.5 AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM s)
+SELECT *, round(2.0 * tp / (2.0 * tp + fp + fn), 6) AS f1, round((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM c""")
+def m11_confusion(t):
+    return rounded(metrics.confusion(scored(t), 0.5), "f1", "mcc")
+
+
+@query(f"""WITH s AS ({SCORED}) SELECT round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae,
+ round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2 FROM s""")
+def m12_regression(t):
+    return rounded(metrics.regression(scored(t)), "rmse", "mae", "r2")
+
+
+@query(f"WITH {POINTS} SELECT round(threshold, 6) AS threshold, round(tp / pos - fp / neg, 6) AS j FROM c ORDER BY tp / pos - fp / neg DESC, threshold DESC LIMIT 1")
+def m13_youden(t):
+    return rounded(metrics.youden(scored(t)), "threshold", "j")
+
+
+@query(f"WITH {POINTS} SELECT round(threshold, 6) AS threshold, round(fp / neg, 6) AS fpr, round(tp / pos, 6) AS tpr FROM c")
+def m14_w7_roc_points(t):
+    return rounded(metrics.roc_points(scored(t)), "threshold", "fpr", "tpr")
+
+
+@query(f"""
+WITH s AS ({SCORED}), q AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM s)
+SELECT CAST(len(list_filter(cuts, lambda c: c < p)) AS INTEGER) AS bin, round(avg(p), 6) AS mean_pred, round(avg(y), 6) AS frac_pos, count(*) AS n FROM s, q GROUP BY 1""")
+def m15_calibration(t):
+    return rounded(metrics.calibration(scored(t)), "mean_pred", "frac_pos")
+
+
+@query(f"WITH s AS ({SCORED}), m AS (SELECT avg(y) AS p FROM s WHERE doc_id % 5 <> 0) SELECT round(avg((m.p - s.y) * (m.p - s.y)), 6) AS brier FROM s, m WHERE s.doc_id % 5 = 0")
+def g18_majority_baseline(t):
+    s = scored(t)
+    return rounded(metrics.brier(metrics.majority_baseline(s.where("doc_id % 5 <> 0"), s.where("doc_id % 5 = 0").drop("p"))), "brier")
+
+
+@query(f"""
+WITH {SCORES}, n AS (SELECT count(*) AS n, avg(score) AS m FROM s), r AS (SELECT *, row_number() OVER (ORDER BY score, vec_id) AS r FROM s),
+k AS (SELECT r.*, n.n, n.m, CAST(CASE WHEN n.n * 0.1 - floor(n.n * 0.1) = 0.5 AND CAST(floor(n.n * 0.1) AS BIGINT) % 2 = 0 THEN floor(n.n * 0.1) ELSE round(n.n * 0.1) END AS BIGINT) AS tail FROM r, n)
+SELECT vec_id, score, CASE WHEN tail > 0 AND r > n - tail THEN 'easy' WHEN tail > 0 AND r <= tail THEN 'hard' WHEN abs(score - m) <= 0.05 THEN 'mid_band' ELSE 'other' END AS difficulty_band FROM k""")
+def w2_bands(t):
+    return ranking.bands(vectors(t).select("vec_id", "score"), "score", "vec_id")
+
+
+@query(f"""
+WITH {VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, pos) AS rank FROM v)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(x, 6) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def t4_row_topk(t):
+    return rounded(ranking.top_per_row(t.embeddings, "vec_id", "embedding", 5), "value")
+
+
+@query(f"""WITH {SCORES} SELECT * FROM (SELECT vec_id, score, 'high' AS side FROM s ORDER BY score DESC, vec_id LIMIT 7)
+UNION ALL SELECT * FROM (SELECT vec_id, score, 'low' AS side FROM s ORDER BY score, vec_id LIMIT 7)""")
+def t5_extremes(t):
+    return ranking.extremes(vectors(t).select("vec_id", "score"), "score", "vec_id", 7)
+
+
+@query(f"WITH {SCORES}, c AS (SELECT median(score) AS c FROM s) SELECT vec_id, score, round(abs(score - c), 6) AS distance FROM s, c ORDER BY abs(score - c), vec_id LIMIT 9")
+def t6_nearest(t):
+    return rounded(ranking.nearest(vectors(t).select("vec_id", "score"), "score", "vec_id", 9, "median"), "distance")
+
+
+@query(f"WITH {SCORES}, c AS (SELECT avg(score) AS c FROM s) SELECT vec_id, score, round(abs(score - c), 6) AS distance FROM s, c ORDER BY abs(score - c), vec_id LIMIT 1")
+def t7_closest_to_mean(t):
+    return rounded(ranking.nearest(vectors(t).select("vec_id", "score"), "score", "vec_id", 1), "distance")
+
+
+@query(f"WITH {VECTORS} SELECT CAST(pos AS INTEGER) AS pos, round(avg(abs(x)), 6) AS mean_abs FROM v GROUP BY 1")
+def g10_mean_abs(t):
+    long = t.embeddings.select(F.posexplode("embedding").alias("pos", "x"))
+    return rounded(long.groupBy("pos").agg(F.avg(F.abs(F.col("x").cast("double"))).alias("mean_abs")), "mean_abs")
+
+
+PROFILE = f"""{VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, pos) AS k FROM v),
+p AS (SELECT vec_id, round(sum(x), 6) AS net_shap, max(abs(x)) FILTER (WHERE pos >= 32) AS max_struct_abs_shap, sum(abs(x)) FILTER (WHERE pos >= 32) AS sum_struct_abs_shap,
+ max(abs(x)) FILTER (WHERE pos < 32) AS max_prompt_abs_shap, sum(abs(x)) FILTER (WHERE pos < 32) AS sum_prompt_abs_shap,
+ CAST(count(*) FILTER (WHERE pos < 32 AND k <= 5) AS INTEGER) AS n_prompt_in_top5 FROM r GROUP BY 1)"""
+
+
+@query(f"""WITH {PROFILE} SELECT vec_id, net_shap, round(max_struct_abs_shap, 6) AS max_struct_abs_shap, round(sum_struct_abs_shap, 6) AS sum_struct_abs_shap,
+ round(max_prompt_abs_shap, 6) AS max_prompt_abs_shap, round(sum_prompt_abs_shap, 6) AS sum_prompt_abs_shap, n_prompt_in_top5,
+ round(max_prompt_abs_shap / max_struct_abs_shap, 6) AS prompt_struct_max_ratio FROM p""")
+def x5_profile(t):
+    return rounded(bands.profile(t.embeddings.select("vec_id", "embedding"), "embedding", range(32)).drop("embedding"), *bands.QUANTITIES)
+
+
+@query(f"""
+WITH {PROFILE}, s AS (SELECT vec_id, round(sum(x), 4) AS score FROM v GROUP BY 1),
+q AS (SELECT s.*, row_number() OVER (ORDER BY score, s.vec_id) AS r, count(*) OVER () AS n, avg(score) OVER () AS m FROM s),
+b AS (SELECT *, CASE WHEN r > n - n // 10 THEN 'easy' WHEN r <= n // 10 THEN 'hard' WHEN abs(score - m) <= 0.05 THEN 'mid_band' ELSE 'other' END AS difficulty_band FROM q),
+u AS (SELECT 'all' AS subset, b.vec_id, score, difficulty_band FROM b UNION ALL SELECT 'correct', b.vec_id, score, difficulty_band FROM b JOIN embeddings e ON b.vec_id = e.vec_id WHERE e.label % 2 = 0),
+g AS (SELECT * FROM (VALUES ('all'), ('correct')) a(subset), (VALUES ('easy'), ('mid_band'), ('hard')) c(difficulty_band)),
+k AS (SELECT subset, difficulty_band, count(*) AS n, round(avg(score), 6) AS score_mean, count(*) FILTER (WHERE n_prompt_in_top5 > 0) AS hits,
+ round(avg(max_prompt_abs_shap / max_struct_abs_shap), 6) AS ratio_mean FROM u JOIN p ON u.vec_id = p.vec_id GROUP BY 1, 2)
+SELECT g.subset, g.difficulty_band, coalesce(n, 0) AS n, score_mean, coalesce(hits, 0) AS hits, CASE WHEN n > 0 THEN round(CAST(hits AS DOUBLE) / n, 6) ELSE 0.0 END AS hit_rate, ratio_mean
+FROM g LEFT JOIN k ON g.subset = k.subset AND g.difficulty_band = k.difficulty_band""")
+def g8_x6_stratified(t):
+    rows = bands.profile(vectors(t), "embedding", range(32)).join(t.embeddings.select("vec_id", (F.col("label") % 2 == 0).alias("correct")), "vec_id")
+    out = bands.stratified(ranking.bands(rows, "score", "vec_id"), bands.chance())
+    out = out.select("subset", "difficulty_band", "n", "score_mean", "hits", "hit_rate", F.col("prompt_struct_max_ratio_mean").alias("ratio_mean"))
+    return rounded(out, "score_mean", "hit_rate", "ratio_mean")
+
+
+@query(f"""
+WITH {VECTORS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, pos) AS k FROM v),
+h AS (SELECT pos, count(*) AS hits FROM r WHERE k <= 5 GROUP BY 1), c AS (SELECT unnest(range(70)) AS pos)
+SELECT 'f' || c.pos AS feature, coalesce(h.hits, 0) AS hits, round(coalesce(h.hits, 0) / (SELECT CAST(count(*) AS DOUBLE) FROM embeddings), 6) AS share FROM c LEFT JOIN h ON c.pos = h.pos""")
+def g9_bincount(t):
+    catalog = t.spark.range(70).select(F.col("id").cast("int").alias("pos"), F.concat(F.lit("f"), "id").alias("feature"))
+    return rounded(bands.feature_counts(t.embeddings, "vec_id", "embedding", catalog), "share")
+
+
+@query("SELECT round(1 - (27.0 * 26 * 25 * 24 * 23) / (54.0 * 53 * 52 * 51 * 50), 6) AS chance")
+def f36_chance(t):
+    return t.spark.range(1).select(F.round(F.lit(bands.chance()), 6).alias("chance"))
+
+
+@query("""
+WITH p AS (SELECT label, vec_id, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+s AS (SELECT label, CASE WHEN b IS NULL THEN NULL ELSE list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])) END AS m FROM p)
+SELECT label, round(coalesce(avg(m), 0.0), 6) AS mean, round(coalesce(min(m), 0.0), 6) AS min FROM s GROUP BY 1""")
+def w3_f30_adjacent_cosine(t):
+    return rounded(ranking.adjacent(t.embeddings, ["label"], "vec_id", cosine, "embedding"), "mean", "min")
+
+
+@query("""
+SELECT conv_id, turn, coalesce(sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+ last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_user
+FROM conversations""")
+def w5_w6_running_state(t):
+    user = F.col("role") == "user"
+    rows = ranking.filled(t.conversations, ["conv_id"], "turn", F.when(user, F.col("turn")), "last_user")
+    return ranking.running_before(rows, ["conv_id"], "turn", F.when(user, F.length("text")).otherwise(0), "before").select("conv_id", "turn", "before", "last_user")
