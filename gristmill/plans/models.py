@@ -1 +1,103 @@
-"""Queries."""
+"""Model and attribution queries; values of fitted models have no SQL."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from ..operators import models, shap
+from .registry import query, rounded
+
+FEATURES = ["chars", "lines", "words", "marks"]
+
+
+def labelled(t):
+    d = t.documents.join(t.labels.select("doc_id", F.col("quality").alias("y")), "doc_id")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return d.select("doc_id", "y", F.length(text).cast("double").alias("chars"), F.size(F.split(text, "\n")).cast("double").alias("lines"), F.size(F.split(text, " ")).cast("double").alias("words"), F.regexp_count(text, F.lit("[!|%$*]")).cast("double").alias("marks"))
+
+
+def predicted(t, fit):
+    rows = labelled(t)
+    return rounded(fit(rows.where("doc_id % 5 <> 0"), FEATURES, "y").predict(rows.where("doc_id % 5 = 0")).select("doc_id", "y", "p"), "p")
+
+
+@query()
+def m1_logistic(t):
+    return predicted(t, models.logistic)
+
+
+@query()
+def m2_ridge(t):
+    return predicted(t, models.ridge)
+
+
+@query()
+def m3_forest(t):
+    return predicted(t, partial(models.forest, numTrees=20, maxDepth=6))
+
+
+@query()
+def m4_boosted(t):
+    return predicted(t, partial(models.boosted, maxIter=10))
+
+
+@query()
+def m5_search(t):
+    rows = labelled(t)
+    fit = partial(models.forest, kind="classification")
+    _, params, best = models.search(rows, FEATURES, "y", "classification", fit, {"numTrees": (5, 10), "maxDepth": (3, 5)}, n_iter=2, inner=2, key="doc_id")
+    return t.spark.createDataFrame([(str(sorted(params.items())), float(best))], "params string, best double")
+
+
+@query()
+def m6_nested(t):
+    fit = partial(models.logistic, max_iter=50)
+    out = models.nested(labelled(t), FEATURES, "y", "classification", lambda df, f, y, C: fit(df, f, y, C=C), {"C": frozenset((1e-2, 1e2))}, outer=2, n_iter=2, inner=2, key="doc_id")  # noqa: N803
+    return t.spark.createDataFrame([(r["fold"], float(r["score"])) for r in out], "fold int, score double")
+
+
+@query()
+def m7_cross_validated(t):
+    return models.cross_validated(labelled(t), FEATURES, "y", "classification", partial(models.logistic, max_iter=50), k=3, key="doc_id").select("doc_id", "fold", "p")
+
+
+@query()
+def m16_importance(t):
+    model = models.forest(labelled(t), FEATURES, "y", numTrees=20, maxDepth=6)
+    return t.spark.createDataFrame([(k, float(v)) for k, v in model.importances().items()], "feature string, importance double")
+
+
+@query()
+def a6_ablation(t):
+    rows = labelled(t)
+    families = {"size": ["chars", "words"], "shape": ["lines", "marks"], "none": []}
+    out = models.ablation(rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0"), families, {"y": "classification"}, partial(models.boosted, maxIter=5))
+    return t.spark.createDataFrame([(r["target"], r["components"], r["n_features"], r["skipped"], r.get("roc_auc")) for r in out], "target string, components string, n_features int, skipped boolean, roc_auc double")
+
+
+@query()
+def x1_tree_shap(t):
+    rows = labelled(t)
+    phi, _ = shap.attributions(models.boosted(rows, FEATURES, "y", maxIter=5), rows, "doc_id")
+    return shap.long_table(phi, "doc_id", FEATURES)
+
+
+@query()
+def x2_interactions(t):
+    rows = labelled(t)
+    return shap.interaction_strengths(models.boosted(rows, FEATURES, "y", maxIter=5), shap.seeded_sample(rows, "doc_id", 100))
+
+
+@query("SELECT true AS additive")
+def x4_additivity(t):
+    rows = labelled(t)
+    model = models.boosted(rows, FEATURES, "y", maxIter=5)
+    phi, expected = shap.attributions(model, rows, "doc_id")
+    return shap.additivity(phi, model.predict(rows), "doc_id", expected).select((F.col("worst") <= 1e-2).alias("additive"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id FROM labels ORDER BY md5(CAST(doc_id AS VARCHAR) || '42'), doc_id LIMIT 50)")
+def x8_seeded_sample(t):
+    return shap.seeded_sample(t.labels, "doc_id", 50).select("doc_id")
