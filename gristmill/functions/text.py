@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # What the features count.
 ISSUE_BLOCK = r"(?is)<issue_description>\s*(.*?)\s*</issue_description>"
@@ -113,9 +115,6 @@ def cosine(a: Column, b: Column) -> Column:
 def token_count(tokenizer):
     """A pandas UDF that counts the tokens of each text; ``tokenizer`` makes, on the worker, a function from a
     text to its token ids.  Null and empty texts have none."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         encode = tokenizer()

@@ -1 +1,227 @@
-"""Queries."""
+"""Text, path, patch, tree, message and parse features: over the proxy tables, and over inline rows."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from ..functions import ids, paths, text
+from ..operators import behaviour, nlp, patch, rollup, tree
+from .registry import query, rounded
+
+DIFF = """diff --git a/src/app.py b/src/app.py
+--- a/src/app.py
++++ b/src/app.py
+@@ -1,3 +1,5 @@ header
+ import os
++def run(x):
++    return x
+-for i in y:
+@@ -20 +22,2 @@
++class Box:
++    pass
+diff --git a/src/app.py b/src/app.py
+@@ -40,2 +50,2 @@
+---gone
++    if x:
+diff --git a/tests/test_app.py b/tests/test_app.py
+@@ -1 +1 @@
+-async def old():
+-    raise ValueError
+diff --git a/old.txt b/new.txt
+@@ -1 +1 @@
++moved
+"""
+TREE = [("README", "blob", 10), ("docs/a.md", "blob", None), ("docs", "tree", None), ("src", "tree", None), ("src/app.py", "blob", 30), ("src/lib/app.py", "blob", 20), ("tests/test_app.py", "blob", 40)]
+RUNS = [("a__b_12ab34cd_pr_7_run3", "x/aiohttp_final:sha"), ("Org__Repo-9_incomplete_20240101_010101_run12", "sweb.eval.x86_64.org_1776_repo-9"), (" plain ", "img"), (None, None), ("o__r_12ab34cd__fix_run1", "")]
+MESSAGES = json.dumps([
+    {"role": "system", "content": "s"}, {"role": "user", "content": " first "}, {"role": "user", "content": "x <issue_description> the\nbug </issue_description> y"},
+    {"role": "assistant", "content": [{"text": "open src/app.py"}, {"text": "and"}, {"n": 1}], "name": "open_file"}, {"role": "tool", "content": "pytest: 1 failed in src/lib/app.py", "tool_name": "Edit"},
+    {"role": "tool", "content": "pytest ok, see src/app.py", "name": "x"},
+])
+
+
+@query("""
+SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS ids_ascii, CAST(regexp_matches(text, '(?i)(Error|Exception|Traceback|failed|raises)') AS INTEGER) AS error,
+ CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS lines,
+ len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '^\\s*(?:[-*]|\\d+\\.)\\s+'))) AS bullets
+FROM documents""")
+def f22_text_counters(t):
+    c = text.text_counters(F.col("text"))
+    ascii_ids = F.regexp_count("text", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"))
+    return t.documents.select("doc_id", c["prompt_char_count"].cast("long").alias("chars"), ascii_ids.cast("long").alias("ids_ascii"), c["prompt_has_error_keyword"].alias("error"), c["prompt_line_count"].cast("long").alias("lines"), c["prompt_bullet_count"].cast("long").alias("bullets"))
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)
+SELECT page_id, CAST(length(p) - length(replace(p, '/', '')) AS INTEGER) AS depth, string_split(trim(p, '/'), '/')[1] AS first_segment,
+ lower(regexp_extract(string_split(rtrim(p, '/'), '/')[-1], '[^.]\\.([^.]+)$', 1)) AS ext,
+ CAST(string_split(rtrim(p, '/'), '/')[-1] LIKE 'test\\_%' ESCAPE '\\' OR contains(p, '/tests/') AS INTEGER) AS is_test FROM p""")
+def f26_url_paths(t):
+    p = F.col("p")
+    rows = t.pages.select("page_id", F.regexp_replace("url", "^https?://", "").alias("p"))
+    return rows.select("page_id", paths.depth(p).cast("int").alias("depth"), paths.first_segment(p).alias("first_segment"), paths.extension(p).alias("ext"), paths.is_test(p).cast("int").alias("is_test"))
+
+
+@query("""
+WITH p AS (SELECT string_split(regexp_replace(url, '^https?://', ''), '/')[1] AS host, string_split(rtrim(url, '/'), '/')[-1] AS name FROM pages),
+n AS (SELECT host, name, count(*) AS n FROM p GROUP BY 1, 2) SELECT host, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS collisions FROM n GROUP BY 1""")
+def g12_basename_collisions(t):
+    rows = t.pages.select(paths.first_segment(F.regexp_replace("url", "^https?://", "")).alias("host"), paths.basename(F.col("url")).alias("name"))
+    return rollup.collisions(rows, ["host"], "name")
+
+
+@query("""
+WITH p AS (SELECT regexp_replace(url, '^https?://', '') AS p FROM pages)
+SELECT CASE WHEN contains(p, '/') THEN regexp_replace(p, '/+[^/]*$', '') ELSE '.' END AS parent, count(*) AS n FROM p GROUP BY 1""")
+def g13_dir_counts(t):
+    p = F.regexp_replace("url", "^https?://", "")
+    return t.pages.groupBy(paths.parent(p).alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM documents),
+b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM benchmark)
+SELECT doc_id, item_id, round(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS overlap
+FROM d JOIN b ON d.doc_id = b.item_id""")
+def f28_u4_token_jaccard(t):
+    a = t.documents.select("doc_id", text.word_tokens(F.col("text")).alias("a"))
+    b = t.benchmark.select("item_id", text.word_tokens(F.col("text")).alias("b"))
+    return rounded(a.join(b, F.col("doc_id") == F.col("item_id")).select("doc_id", "item_id", text.jaccard(F.col("a"), F.col("b")).alias("overlap")), "overlap")
+
+
+@query("SELECT conv_id, trim(arg_min(text, turn) FILTER (WHERE role = 'user')) AS first_user FROM conversations GROUP BY 1")
+def f20_first_user_message(t):
+    return t.conversations.groupBy("conv_id").agg(text.py_strip(F.min_by("text", F.when(F.col("role") == "user", F.col("turn")))).alias("first_user"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+SELECT conv_id, CAST(sum(CASE WHEN contains(lower(text), 'process_control') THEN 1 ELSE 0 END) AS BIGINT) AS control, arg_min(CASE WHEN regexp_matches(lower(text), 'passed|ok') THEN 1 ELSE 0 END, i)
+ FILTER (WHERE regexp_matches(lower(text), 'pytest|unittest') AND regexp_matches(lower(text), 'passed|ok|failed|traceback|error')) AS first_test FROM r GROUP BY 1""")
+def f29_turn_behaviour(t):
+    out = behaviour.behaviour(t.conversations.withColumns({"tool": F.lit(""), "primary": F.lit("a/b.py")}), "conv_id", "turn", "text", "tool", "primary")
+    return out.select("conv_id", F.col("traj_process_control_frequency").alias("control"), F.col("traj_first_test_run_success").alias("first_test"))
+
+
+@query("""SELECT * FROM (VALUES ('a__b_12ab34cd_pr_7_run3', 'a__b_12ab34cd_pr_7', 'a__b.12ab34cd.pr_7', 'a_b_12ab34cd_pr_7', NULL, 'aiohttp', NULL),
+ ('Org__Repo-9_incomplete_20240101_010101_run12', 'Org__Repo-9_incomplete_20240101_010101', NULL, 'org_repo-9_incomplete_20240101_010101', NULL, 'sweb.eval.x86_64.org_1776_repo-9', 'org__repo-9'),
+ (' plain ', 'plain', NULL, ' plain ', NULL, 'img', NULL), (NULL, '', NULL, NULL, NULL, NULL, NULL), ('o__r_12ab34cd__fix_run1', 'o__r_12ab34cd__fix', NULL, 'o_r_12ab34cd_fix', 'r.12ab34cd', NULL, NULL))
+ AS v(run, task, pull, flat, repo_sha, image_repo, instance)""")
+def f1_f11_ids(t):
+    rows = t.spark.createDataFrame(RUNS, "run string, image string")
+    r, i = F.col("run"), F.col("image")
+    return rows.select("run", ids.task_id(r).alias("task"), ids.pull_instance(r).alias("pull"), ids.separator_free(r).alias("flat"), ids.repo_sha_of_run(r).alias("repo_sha"), ids.repo_of_image(i).alias("image_repo"), ids.instance_of_image(i).alias("instance"))
+
+
+@query("SELECT replace(replace(source, '/', '__'), ':', '__') AS safe, replace(source, '/', '__') || '__abc1234.json.gz' AS file FROM (SELECT DISTINCT source || '/' || lang AS source FROM documents)")
+def f16_f17_names(t):
+    s = F.concat_ws("/", "source", "lang")
+    return t.documents.select(s.alias("s")).distinct().select(text.safe_name(F.col("s")).alias("safe"), ids.tree_file(F.col("s"), F.lit("abc1234")).alias("file"))
+
+
+@query("SELECT ['src/app.py', 'src/app.py', 'tests/test_app.py'] AS files")
+def f24_patch_files(t):
+    return t.spark.createDataFrame([(DIFF,)], "patch string").select(patch.changed_files(F.col("patch")).alias("files"))
+
+
+@query("""SELECT 1::BIGINT AS patch_id, 3::BIGINT AS patch_num_files_changed, 5::BIGINT AS patch_num_hunks, 6::BIGINT AS patch_lines_added, 3::BIGINT AS patch_lines_deleted,
+ 2::BIGINT AS ast_num_functions_modified, 1::BIGINT AS ast_num_classes_modified, 7::BIGINT AS ast_syntax_node_change_count, 1::BIGINT AS cfg_conditionals_added, 1::BIGINT AS cfg_conditionals_deleted,
+ round(-(6.0 / 8 * log2(6.0 / 8) + 2.0 / 8 * log2(2.0 / 8)), 6) AS patch_entropy_over_files, 'src/app.py' AS patch_primary_file_path, 24.5 AS patch_hunk_gap_mean,
+ round(11.0 / 5, 6) AS func_avg_hunk_span_modified, 1::BIGINT AS patch_test_files_changed, round(5.0 / 3, 6) AS patch_edit_fragmentation, 2.5 AS func_avg_changed_lines_per_touched_function""")
+def f25_patch_stats(t):
+    rows = t.spark.createDataFrame([(1, DIFF)], "patch_id long, patch string")
+    names = ["patch_num_files_changed", "patch_num_hunks", "patch_lines_added", "patch_lines_deleted", "ast_num_functions_modified", "ast_num_classes_modified", "ast_syntax_node_change_count", "cfg_conditionals_added", "cfg_conditionals_deleted", "patch_entropy_over_files", "patch_primary_file_path", "patch_hunk_gap_mean", "func_avg_hunk_span_modified", "patch_test_files_changed", "patch_edit_fragmentation", "func_avg_changed_lines_per_touched_function"]
+    out = patch.patch_features(rows).select("patch_id", *names)
+    return rounded(out, "patch_entropy_over_files", "patch_hunk_gap_mean", "func_avg_hunk_span_modified", "patch_edit_fragmentation", "func_avg_changed_lines_per_touched_function")
+
+
+TREE_TYPE = "id long, tree array<struct<path: string, type: string, size: bigint>>, truncated boolean, changed_files array<string>, prompt string"
+
+
+@query("""SELECT 1::BIGINT AS id, 1 AS tree_present, 1 AS tree_truncated, 5 AS repo_file_count, 2 AS repo_dir_count, 2 AS repo_max_depth, 1.0 AS repo_mean_file_depth, 3 AS repo_python_file_count,
+ 1 AS repo_test_file_count, 0.2 AS repo_test_ratio, 100::BIGINT AS repo_total_known_size, 25.0 AS repo_mean_known_file_size, 4 AS repo_top_level_dir_count, 1 AS repo_has_docs_dir, 1 AS repo_has_tests_dir,
+ 0 AS repo_has_examples_dir, 1 AS repo_basename_collision_count, 0.5 AS repo_mean_siblings_per_changed_file, 0.5 AS repo_changed_files_exist_in_tree_ratio
+ UNION ALL SELECT 2, 0, 0, 0, 0, 0, 0.0, 0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, NULL, NULL""")
+def f27_tree_features(t):
+    rows = [(1, TREE, True, ["src/app.py", "lost/x.py"], "the app in src"), (2, None, None, None, "")]
+    out = tree.tree_features(t.spark.createDataFrame(rows, TREE_TYPE))
+    out = rounded(out.drop("tree", "truncated", "changed_files", "prompt"), "repo_mean_file_depth", "repo_test_ratio", "repo_mean_known_file_size", "repo_mean_siblings_per_changed_file", "repo_changed_files_exist_in_tree_ratio")
+    ints = [f.name for f in out.schema if f.dataType.simpleString() == "int"]
+    return out.withColumns({c: F.col(c).cast("int") for c in ints})
+
+
+@query("""SELECT 1::BIGINT AS id, round(2.0 / 7, 6) AS prompt_patch_filename_token_overlap, round(2.0 / 12, 6) AS prompt_tree_filename_token_overlap, 2 AS prompt_patch_identifier_overlap_count,
+ 3 AS prompt_tree_candidate_file_count, 3 AS prompt_tree_candidate_dir_count, 1 AS changed_file_candidate_rank_min""")
+def f28_t9_linking(t):
+    rows = [(1, TREE, True, ["src/app.py", "lost/x.py"], "the app in src")]
+    df = t.spark.createDataFrame(rows, TREE_TYPE).withColumn("blob_paths", tree.blob_paths(F.col("tree")))
+    out = tree.linking_features(df, "prompt").drop("tree", "truncated", "changed_files", "prompt", "blob_paths")
+    return rounded(out, "prompt_patch_filename_token_overlap", "prompt_tree_filename_token_overlap")
+
+
+@query("""SELECT 'the' || chr(10) || 'bug' AS issue, 1 AS found, 'first' AS prompt, 6 AS n, 'open src/app.py' || chr(10) || 'and' AS chunks, 'open_file' AS tool
+ UNION ALL SELECT '', 0, 'not json', 0, NULL, NULL UNION ALL SELECT '', 0, '', 0, NULL, NULL""")
+def f18_f21_messages(t):
+    rows = t.spark.createDataFrame([(MESSAGES,), ("not json",), ("{}",)], "m string").withColumn("p", behaviour.messages(F.col("m")))
+    p, none = F.col("p"), F.lit(None).cast("string")
+    return rows.select(behaviour.issue_text(p).alias("issue"), behaviour.issue_block_found(p).alias("found"), behaviour.prompt_text(none, none, F.col("m")).alias("prompt"), F.size(p).alias("n"), F.try_element_at(p, F.lit(4))["text"].alias("chunks"), F.try_element_at(p, F.lit(4))["name"].alias("tool"))
+
+
+@query("SELECT 1 AS id, 0 AS traj_first_test_run_success, 1 AS traj_files_opened_before_first_edit, 0::BIGINT AS traj_process_control_frequency, 5 AS traj_time_to_first_correct_file_index, 2::BIGINT AS traj_touches_before_first_correct_file, 1::BIGINT AS traj_repeated_edits_same_file_count")
+def f29_behaviour(t):
+    rows = t.spark.createDataFrame([(1, MESSAGES.replace("open src/app.py", "open lib/z.py").replace("src/lib/app.py", "lib/z.py"), "src/app.py")], "id int, m string, main string")
+    rows = rows.select("id", "main", F.posexplode(behaviour.messages(F.col("m"))).alias("k", "x"))
+    out = behaviour.behaviour(rows.select("id", "k", F.col("x")["text"].alias("text"), F.col("x")["name"].alias("tool"), "main"), "id", "k", "text", "tool", "main")
+    return out
+
+
+TOKENS = [
+    # doc, sent, i, head, dep, pos, lemma
+    (1, 0, 0, 1, "nsubj", "PRON", "we"), (1, 0, 1, 1, "ROOT", "VERB", "fix"), (1, 0, 2, 3, "amod", "ADJ", "old"), (1, 0, 3, 1, "dobj", "NOUN", "bug"), (1, 0, 4, 3, "cc", "CCONJ", "and"),
+    (1, 0, 5, 3, "conj", "NOUN", "leak"), (1, 0, 6, 5, "prep", "ADP", "in"), (1, 0, 7, 6, "pobj", "NOUN", "code"), (1, 0, 8, 1, "advcl", "VERB", "run"), (1, 0, 9, 8, "xcomp", "VERB", "test"), (1, 0, 10, 1, "punct", "PUNCT", "."),
+    (1, 1, 11, 12, "nsubj", "PRON", "it"), (1, 1, 12, 12, "ROOT", "VERB", "fix"), (1, 1, 13, 12, "dobj", "NOUN", "bug"), (1, 1, 14, 12, "punct", "PUNCT", "."),
+]
+
+
+def tokens(t):
+    rows = [(d, s, i, h, dep, pos, lemma, lemma, False, pos == "PUNCT", pos in ("PRON", "ADP", "CCONJ"), pos != "PUNCT") for d, s, i, h, dep, pos, lemma in TOKENS]
+    return t.spark.createDataFrame(rows, "doc_id long, sent_id int, i int, head_i int, dep string, pos string, lemma string, text string, is_space boolean, is_punct boolean, is_stop boolean, is_alpha boolean")
+
+
+@query("""SELECT 1::BIGINT AS doc_id, 2.0 AS prompt_sent_count, 2.0 AS prompt_clauses_per_sentence, 6.5 AS prompt_content_tokens_per_sentence, 4.5 AS prompt_clause_length_mean, 2.5 AS prompt_dep_depth_mean,
+ round(30.0 / 13, 6) AS prompt_dep_distance_mean, 9.0 AS prompt_dep_distance_max, round(13.0 / 6, 6) AS prompt_branching_factor_mean, 0.25 AS prompt_clause_nesting_depth_mean, 2.0 AS prompt_max_conj_chain_len,
+ 1.0 AS prompt_noun_coordination_ratio, 0.25 AS prompt_attachment_competition_ratio, 0.0 AS prompt_pronoun_candidate_antecedent_density""")
+def f32_f34_prompt_metrics(t):
+    out = nlp.document_metrics(tokens(t))
+    names = ["prompt_sent_count", "prompt_clauses_per_sentence", "prompt_content_tokens_per_sentence", "prompt_clause_length_mean", "prompt_dep_depth_mean", "prompt_dep_distance_mean", "prompt_dep_distance_max", "prompt_branching_factor_mean", "prompt_clause_nesting_depth_mean", "prompt_max_conj_chain_len", "prompt_noun_coordination_ratio", "prompt_attachment_competition_ratio", "prompt_pronoun_candidate_antecedent_density"]
+    return rounded(out.select("doc_id", *names), *names)
+
+
+@query("""SELECT 1::BIGINT AS doc_id, 15.0 AS prompt_parse_num_tokens, 1.25 AS prompt_parse_mean_clause_nesting_depth, round(1.0 / 4, 6) AS prompt_parse_modifiers_per_noun,
+ round((-(3.0/11*ln(3.0/11) + 1.0/11*ln(1.0/11)*2 + 2.0/11*ln(2.0/11) + 4.0/11*ln(4.0/11)) + -(1.0/4*ln(1.0/4) + 3.0/4*ln(3.0/4))) / 2, 6) AS prompt_parse_mean_dep_entropy_per_sentence""")
+def f33_g17_parse_metrics(t):
+    names = ["prompt_parse_num_tokens", "prompt_parse_mean_clause_nesting_depth", "prompt_parse_modifiers_per_noun", "prompt_parse_mean_dep_entropy_per_sentence"]
+    return rounded(nlp.document_metrics(tokens(t), "parse").select("doc_id", *names), *names)
+
+
+@query("SELECT 1::BIGINT AS doc_id, round(2.0 / 7, 6) AS prompt_adjacent_lemma_overlap_mean, round(2.0 / 7, 6) AS prompt_adjacent_lemma_overlap_min")
+def f31_w3_lemma_overlap(t):
+    return rounded(nlp.lemma_overlaps(tokens(t)), "prompt_adjacent_lemma_overlap_mean", "prompt_adjacent_lemma_overlap_min")
+
+
+@query("""
+WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]+|[^.!?\\n]+')) AS s FROM documents) SELECT doc_id, CAST(count(*) AS DOUBLE) AS n FROM s WHERE regexp_matches(s, '[^\\s]') GROUP BY 1""")
+def f32_sentences_of_documents(t):
+    return nlp.document_metrics(nlp.plain_tokens(t.documents)).select("doc_id", F.col("prompt_sent_count").alias("n"))
+
+
+@query()
+def f23_token_count(t):
+    return t.documents.select("doc_id", text.token_count(lambda: str.split)("text").alias("n"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def f38_json_rows(t):
+    return t.events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
