@@ -17,13 +17,20 @@ from pyspark.sql import functions as F
 P = "__gm_"
 
 
+#: Folders made for applications whose session names none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one is made only where the session names none (tests)."""
+    """The folder all executors share, as a full URI; one is made only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+        found = _own[app]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
