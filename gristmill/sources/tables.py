@@ -18,12 +18,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Folders made for applications whose session names none.
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder that the session names; one is made only where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own[app] = "file://" + tempfile.mkdtemp(prefix="gristmill-")
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
 
 
