@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..functions import ids
 
@@ -34,7 +35,7 @@ def cascade(rows: DataFrame, row: str, keys: Sequence[Column], indexes: Sequence
     return found.groupBy(row).agg(F.min_by(F.struct("row_index", "step"), "step").alias("m")).select(row, "m.row_index", "m.step")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of casefolded texts, with the library's own shortcuts."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(a=x.casefold(), b=y.casefold()).ratio() for x, y in zip(a, b)], dtype="float64")
