@@ -6,10 +6,11 @@ shingle itself would count the very copies that are looked for.)  Each of bands
 shingle and a quantised weight; two documents agree in one with the probability of their weighted Jaccard
 similarity.  Documents that agree in a whole band are candidates, and candidates are verified exactly.
 
-Within a band's bucket each member is compared with one centre.  Jaccard distance is a metric, so a member
-that missed the centre can only be linked to members whose distance to the centre differs by at most the
-allowed distance; such pairs, unless in one component by then, are compared in a second pass.  So no
-candidate link between components is lost, and a tight group of n copies costs n comparisons.
+Within a band's bucket each member is compared with one centre, so a tight group of n copies costs n
+comparisons.  Jaccard distance is a metric: a member that missed the centre can only be linked to members
+whose distance to the centre differs by at most the allowed distance.  These, if not in one component
+by then, are compared in a second pass, as matrices of bounded blocks of a bucket's members; only links that
+join components leave a block.  So no candidate link between components is lost, and no pair is a row.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .components import components
 BINS = 1 << 16
 #: Random variates per sample are drawn from a table of this many entries, by a hash of the shingle.
 VARIATES = 1 << 16
+#: Members of a bucket that a second comparison takes at once, squared.
+BLOCK = 512
 _WORD = re.compile(r"\w+")
 
 
@@ -75,6 +78,7 @@ class Sampler:
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
         self.r = rng.gamma(2, 1, VARIATES).astype(np.float32)
+        self.inverse = 1 / self.r
         self.log_c = np.log(rng.gamma(2, 1, VARIATES)).astype(np.float32)
         self.beta = rng.random(VARIATES, np.float32)
         self.odd = rng.integers(1 << 62, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,16 +88,22 @@ class Sampler:
         best = np.full(len(self.odd), np.inf, np.float32)
         item = np.zeros(len(self.odd), np.uint64)
         level = np.zeros(len(self.odd), np.int64)
-        for at in range(0, len(h), 2048):
-            part, log_w = h[at : at + 2048], np.log(w[at : at + 2048])
-            index = (self.odd[:, None] * part[None]) >> np.uint64(48)
-            r, beta = self.r[index], self.beta[index]
-            t = np.floor(log_w[None] / r + beta)
-            a = self.log_c[index] - r * (t - beta + 1)
-            k = a.argmin(1)[:, None]
-            least = np.take_along_axis(a, k, 1)[:, 0]
+        every = np.arange(len(self.odd))
+        for at in range(0, len(h), 192):  # what fits the processor's cache
+            part, log_w = h[at : at + 192], np.log(w[at : at + 192])
+            index = ((self.odd[:, None] * part[None]) >> np.uint64(48)).view(np.int64)
+            r, beta = self.r.take(index), self.beta.take(index)
+            t = log_w * self.inverse.take(index)
+            t += beta
+            np.floor(t, out=t)
+            a = t - beta
+            a += 1
+            a *= r
+            np.subtract(self.log_c.take(index), a, out=a)
+            k = a.argmin(1)
+            least = a[every, k]
             new = least < best
-            best[new], item[new], level[new] = least[new], part[k[new, 0]], np.take_along_axis(t, k, 1)[new, 0].astype(np.int64)
+            best[new], item[new], level[new] = least[new], part[k[new]], t[every, k][new].astype(np.int64)
         mixed = (item ^ (level.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))).reshape(self.bands, self.rows)
         key = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for j in range(self.rows):
@@ -110,6 +120,60 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - both)
 
 
+def _links(docs: list[tuple], least: float) -> list[tuple[bytes, bytes]]:
+    """Links of components, no more than join them: of (root, apart, shingles, weights, total) documents, pairs of
+    different roots of which one is apart.
+
+    Smaller weights of two documents are summed by a product of matrices: a shingle has a column for each
+    of its weights here, worth its step over the next smaller one, held by documents of at least it.
+    """
+    n = len(docs)
+    totals = np.array([d[4] for d in docs])
+    names = {r: i for i, r in enumerate(dict.fromkeys(d[0] for d in docs))}
+    root, apart = np.array([names[d[0]] for d in docs]), np.array([d[1] for d in docs])
+    both = np.zeros((n, n))
+    s, w = np.concatenate([d[2] for d in docs]), np.concatenate([d[3] for d in docs])
+    owner = np.repeat(np.arange(n), [len(d[2]) for d in docs])
+    order = np.lexsort((w, s))
+    s, w, owner = s[order], w[order], owner[order]
+    edge = np.append(True, s[1:] != s[:-1])
+    size = np.diff(np.append(np.flatnonzero(edge), len(s)))
+    shared = np.repeat(size > 1, size)
+    s, w, owner, edge = s[shared], w[shared], owner[shared], edge[shared]
+    if len(s):
+        step = edge | np.append(True, w[1:] != w[:-1])
+        column = np.cumsum(step) - 1
+        first = column[np.maximum.accumulate(np.where(edge, np.arange(len(s)), 0))]
+        value = w[step].astype(np.float64)
+        worth = np.where(edge[step], value, value - np.append(0, value[:-1]))
+        held = column - first + 1
+        who = np.repeat(owner, held)
+        which = np.repeat(first, held) + np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        for at in range(0, int(column[-1]) + 1, 4096):
+            some = (which >= at) & (which < at + 4096)
+            x = np.zeros((n, min(4096, int(column[-1]) + 1 - at)))
+            x[who[some], which[some] - at] = 1
+            both += (x * worth[at : at + 4096]) @ x.T
+    alike = both >= least * (totals[:, None] + totals[None] - both)
+    alike &= (root[:, None] != root[None]) & (apart[:, None] | apart[None])
+    a, b = (root[x] for x in np.nonzero(np.triu(alike, 1)))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    up, out, of = list(range(len(names))), [], list(names)
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs.tolist():
+        x, y = top(a), top(b)
+        if x != y:
+            up[x] = y
+            out.append((of[a], of[b]))
+    return out
+
+
 def _fingerprint(words: np.ndarray) -> bytes:
     return hashlib.md5(words.tobytes()).digest()
 
@@ -162,8 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = signed.where("id is not null and h is not null")
     texts = staged(known.groupBy("h").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "texts")
     members = texts.select("h", F.explode("keys").alias("key"))
-    buckets = staged(members.groupBy("key").agg(F.min("h").alias("c"), F.max("h").alias("d")).where("c != d").select("key", "c"), "buckets")
+    buckets = staged(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("c"), F.max("h").alias("d")).where("c != d").select("key", "n"), "buckets")
     members = staged(members.join(buckets, "key"), "members")
+    # the centre of a bucket is its member that meets most others in all its bands
+    met = staged(members.groupBy("h").agg(F.sum("n").alias("met")), "met")
+    members = members.join(met, "h")
+    centres = staged(members.groupBy("key").agg(F.max(F.struct("met", "h"))["h"].alias("c")), "centres")
+    members = staged(members.select("key", "h").join(centres, "key"), "members")
     pairs = staged(members.where("h != c").select(F.col("c").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
 
     wanted = members.select("h").distinct().join(texts.select("h", "id"), "h")
@@ -198,20 +267,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = staged(components(links), "roots")
 
     # Second pass: members apart from their bucket's centre against the bucket's other components.
-    placed = members.join(first.select(F.col("a").alias("c"), F.col("b").alias("h"), "sim"), ["c", "h"], "left").join(vecs.select("h", "total"), "h")
-    placed = placed.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "c", "total", F.coalesce("root", "h").alias("root"), (1 - F.coalesce("sim", F.lit(1.0))).alias("dist"))
-    placed = staged(placed.join(roots.select(F.col("node").alias("c"), F.col("root").alias("c_root")), "c", "left").withColumn("apart", F.col("root") != F.coalesce("c_root", "c")), "placed")
-    other = placed.where("h != c").select("key", *(F.col(x).alias(x + "2") for x in ("h", "total", "root", "dist", "apart")))
-    near = F.abs(F.col("dist") - F.col("dist2")) <= 1 - threshold + 1e-6
-    alike = (F.col("total") >= (threshold - 1e-6) * F.col("total2")) & (F.col("total2") >= (threshold - 1e-6) * F.col("total"))
-    once = ~F.col("apart2") | (F.col("h") < F.col("h2"))
-    rest = placed.where("apart and h != c").join(other, (placed["key"] == other["key"]) & (F.col("root") != F.col("root2")) & once & near & alike)
-    rest = rest.select(F.least("h", "h2").alias("a"), F.greatest("h", "h2").alias("b")).distinct()
-    second = verified(rest).where(linked).select("a", "b")
-    # links between components of the first pass only
-    lift = roots.select("node", "root")
-    second = second.join(lift.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(lift.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    more = staged(second.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "more")
+    placed = members.join(first.select(F.col("a").alias("c"), F.col("b").alias("h"), "sim"), ["c", "h"], "left")
+    placed = placed.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", "c", F.coalesce("root", "h").alias("root"), (1 - F.coalesce("sim", F.lit(1.0))).alias("dist"))
+    placed = placed.where("h != c").join(roots.select(F.col("node").alias("c"), F.col("root").alias("c_root")), "c", "left")
+    placed = staged(placed.select("key", "h", "root", "dist", (F.col("root") != F.coalesce("c_root", "c")).alias("apart")), "placed")
+    slack = 1 - threshold + 1e-6
+    far = F.when(F.col("apart"), F.col("dist"))
+    spans = placed.groupBy("key").agg(F.min(far).alias("lo"), F.max(far).alias("hi")).where("lo is not null")
+    rest = staged(placed.join(staged(spans, "spans"), "key").where((F.col("dist") >= F.col("lo") - slack) & (F.col("dist") <= F.col("hi") + slack)).select("key", "h", "root", "apart"), "rest")
+    # bands whose buckets hold the same members are one; a bucket of one component has nothing to compare
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "h", "apart").cast("decimal(38,0)"))
+    sets = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("x"), mark(2).alias("y"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+    sets = staged(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")), "sets")
+    rest = rest.join(sets, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(5), "h"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "h", "root", "apart")
+    rest = rest.join(vecs.select("h", "s", "w", "total"), "h")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def links() -> pa.RecordBatch:
+            found = _links(held, threshold - 1e-6)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            for *at, h, root, apart, x, w, total in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "h", "root", "apart", "s", "w", "total"))):
+                if at != cell:
+                    if len(held) > 1:
+                        yield links()
+                    cell, held = at, []
+                held.append((root, apart, np.frombuffer(x, np.uint64), np.frombuffer(w, np.float32), total))
+        if len(held) > 1:
+            yield links()
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = rest.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "h", "root", "apart", "s", "w", "total")
+    more = staged(cells.mapInArrow(within, "a binary, b binary").distinct(), "more")
     if not more.isEmpty():
         top = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
         nodes = roots.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").withColumn("root", F.col("node")))
