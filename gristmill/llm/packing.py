@@ -105,10 +105,14 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         held, none = np.zeros(1 << 16 if enc.dtype.itemsize == 2 else enc.lib.get_vocab_size() + 1, np.int64), None
+        seen = np.zeros(len(held), bool)
         for batch in batches:
             ids = [x + end for x in enc.encode(batch.column(1).to_pylist())]
             for x in ids:
-                held[np.unique(np.frombuffer(x, enc.dtype))] += 1
+                seen[np.frombuffer(x, enc.dtype)] = True
+                terms = np.flatnonzero(seen)
+                held[terms] += 1
+                seen[terms] = False
             none = pa.nulls(1, batch.column(0).type)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([False] * len(ids))], names=["id", "ids", "counts"])
         if none is not None:  # the task's document frequencies

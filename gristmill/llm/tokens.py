@@ -48,32 +48,51 @@ class Encoder:
             self.model._resize_cache(0)
             self.code = "H" if self.dtype.itemsize == 2 else "I"
             self.newline = self._ids(["\n"])[0]
-            self.marks: dict[str, bytes] = {"": b""}
+            self.marks: dict[str, bytes] = {}
             kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = [b for b in range(256) if b not in kept]
             self.chars = {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(rest)}
+            self.space = self.chars[32]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.lib.encode_batch(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin1").translate(self.chars)
+        """Ids of a word of letters, with its space in front if it has one."""
+        mapped = word.replace(" ", self.space) if word.isascii() else word.encode().decode("latin1").translate(self.chars)
         return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
+    def _mark(self, end: str) -> bytes | None:
+        """Ids of trailing punctuation; null for rare ones, so that they stay few."""
+        if end not in self.marks and len(self.marks) < 1000:
+            self.marks[end] = self._ids([end])[0]
+        return self.marks.get(end)
+
     def _learn(self, pieces: Iterable[str]) -> None:
-        rest, cache, marks = [], self.cache, self.marks
+        rest, cache, marks, word = [], self.cache, self.marks, self._word
+        tokenize, code, space = self.model.tokenize, self.code, self.space
         for p in pieces:
-            first = p[:1] == "\n"
-            core = p[1:] if first else p
-            stem = core.rstrip(MARKS)
-            if stem.isalpha() and max(stem) < "\u0600":
-                end = core[len(stem) :]
-                if end not in marks:
-                    marks[end] = self._ids([end])[0] if len(marks) < 1000 else None
-                if marks[end] is not None:
-                    cache[p] = (self.newline + self._word(stem) if first else cache.get(stem) or self._word(" " + stem)) + marks[end]
+            stem = p.rstrip(MARKS)
+            if stem.isalpha():
+                plain = stem.isascii()
+                if plain or max(stem) < "\u0600":
+                    ids = cache.get(stem)
+                    if ids is None:
+                        ids = cache[stem] = array(code, [t.id for t in tokenize(space + stem)]).tobytes() if plain else word(" " + stem)
+                    if len(stem) == len(p):
+                        continue
+                    end = p[len(stem) :]
+                    mark = marks.get(end) or self._mark(end)
+                    if mark:
+                        cache[p] = ids + mark
+                        continue
+            elif p[:1] == "\n" and stem[1:].isalpha() and max(stem) < "\u0600":
+                end = p[len(stem) :]
+                mark = marks.get(end) or self._mark(end) if end else b""
+                if mark is not None:
+                    cache[p] = self.newline + word(stem[1:]) + mark
                     continue
-                del marks[end]
+            core = p[1:] if p[:1] == "\n" else p
             if core and core.split() == [core]:
                 rest.append(p)
             else:
