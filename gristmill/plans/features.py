@@ -227,7 +227,7 @@ def f38_json_rows(t):
     return t.events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("""SELECT * FROM (VALUES ('a', ['a/b', 'c/d', 'e/f.git']), ('b', ['o/r', 'x/y.py']), ('c', []), ('d', [])) AS v(id, repos)""")
+@query("""SELECT * FROM (VALUES ('a', ['a/b', 'c/d', 'e/f', 'e/f.git']), ('b', ['o/r', 'x/y.py']), ('c', []), ('d', [])) AS v(id, repos)""")
 def f14_f15_repos(t):
     from ..functions.repos import repos_in_json
 
