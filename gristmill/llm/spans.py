@@ -11,10 +11,12 @@ from .common import P, as_row, staged, with_outputs
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+"
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, min_words: int = 14, long_words: int = 25) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, min_words: int = 14, long_words: int = 25, grow: bool = False) -> DataFrame:
     """Hashes every run of ``sentences`` consecutive sentences that has at least ``min_words`` words, and every
     sentence of at least ``long_words`` words, compared in lower case with white space made one space.
     Removes the sentences that any run covers which is not the first of its hash by (id, position).
+    With ``grow``, the run from a sentence doesn't stop at ``sentences`` sentences but takes as many more as it
+    needs to have ``min_words`` words, so that passages of short sentences have runs too; all other runs are the same.
 
     Returns the input's columns with the text reassembled, and n_sentences (before) and n_removed.  A null
     or empty text has no sentences and becomes ''.  A text with fewer sentences has no run and stays.
@@ -37,7 +39,17 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ))
         return F.filter(made, lambda r: r["w"] >= words)
 
-    rows = base.select(*key, F.explode(F.concat(runs(sentences, min_words), runs(1, long_words))).alias(P + "run"))
+    def grown():
+        none = F.struct(F.lit(b"").alias("h"), F.lit(0).alias("length"), F.lit(0).alias("w"))
+        short = lambda a: (a["length"] < sentences) | (a["w"] < min_words)
+        more = lambda a, e: F.struct(F.concat(a["h"], e["h"]).alias("h"), (a["length"] + 1).alias("length"), (a["w"] + e["w"]).alias("w"))
+        # a sentence counts as one word at least, so no run has more sentences than this
+        reach = lambda e: F.slice(P + "each", e["pos"] + 1, F.lit(max(sentences, min_words)))
+        run = lambda e: F.aggregate(reach(e), none, lambda a, x: F.when(short(a), more(a, x)).otherwise(a))
+        made = F.filter(F.transform(P + "each", lambda e: F.struct(run(e).alias("run"), e["pos"].alias("pos"))), lambda r: ~short(r["run"]))
+        return F.transform(made, lambda r: F.struct(F.unhex(F.md5(r["run"]["h"])).alias("h"), r["pos"].alias("pos"), r["run"]["length"].alias("length"), r["run"]["w"].alias("w")))
+
+    rows = base.select(*key, F.explode(F.concat(grown() if grow else runs(sentences, min_words), runs(1, long_words))).alias(P + "run"))
     rows = rows.select(*key, F.col(P + "run")["pos"].alias(P + "pos"), F.col(P + "run")["length"].alias(P + "length"), F.col(P + "run")["h"].alias(P + "h"))
     at = F.struct(*key, F.col(P + "pos"))
     found = rows.groupBy(P + "h").agg(F.min(at).alias(P + "first"), F.max(at).alias(P + "last"))

@@ -83,6 +83,57 @@ def test_passage_of_fifty_words_goes_from_the_second_document(spark):
     assert got[1].n_removed == 0 and got[2].text == "Two begins so. End two." and got[3].text == "Clean and alone."
 
 
+SHORT = "".join(" ".join(f"s{i}w{k}" for k in range(5)) + (". ", "!! ", "\n")[i % 3] for i in range(12))
+
+
+def test_passage_of_sixty_words_in_short_sentences_goes_from_the_second_document(spark):
+    docs = [(1, "One own start. " + SHORT + "End one."), (2, "Two begins so. " + SHORT.upper() + "End two."), (3, "Three is. " + SHORT[: len(SHORT) // 5])]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in docs], DDL)
+    got = {r.doc_id: r for r in dedup_spans(df, grow=True).collect()}
+    assert got[1].n_removed == 0 and got[1].text == docs[0][1] and got[3].n_removed == 0
+    assert got[2].text == "Two begins so. End two." and got[2].n_removed == 12
+
+
+def brute_grown(docs, n=2, least=14, single=25):
+    parts = {k: re.findall(r"[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+", t or "") for k, t in docs.items()}
+    plain = {k: [re.sub(r"[ \t\n\r]+", " ", s.lower()).strip(" ") for s in p] for k, p in parts.items()}
+    words = lambda run: sum(len(s.split(" ")) for s in run)
+    first, gone = set(), {k: set() for k in docs}
+    for k in sorted(docs):
+        for i in range(len(plain[k])):
+            length = n
+            while i + length < len(plain[k]) and words(plain[k][i : i + length]) < least:
+                length += 1
+            for size, enough in ((length, least), (1, single)):
+                run = plain[k][i : i + size]
+                if len(run) == size and words(run) >= enough:
+                    if (size, tuple(run)) in first:
+                        gone[k] |= set(range(i, i + size))
+                    first.add((size, tuple(run)))
+    return sorted((k, "".join(s for i, s in enumerate(p) if i not in gone[k]), len(p), len(gone[k])) for k, p in parts.items())
+
+
+def test_grown_runs_against_brute_force(spark):
+    rng = random.Random(6)
+    sentence = lambda most: " ".join(rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(rng.randrange(0, most))) + rng.choice([". ", "!! ", ".\n", "\n"])
+    passages = ["".join(sentence(most) for _ in range(9)) for most in (3, 5, 8, 20, 40)]
+    docs = {i: "".join(rng.choice(passages) if rng.random() < 0.3 else sentence(12) for _ in range(8)) for i in range(40)}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs.items()], DDL)
+    got = rows(dedup_spans(df, grow=True), "doc_id", "text", "n_sentences", "n_removed")
+    assert got == brute_grown(docs) and sum(r[3] for r in got) > sum(r[3] for r in brute_spans(docs))
+
+
+def test_grown_query_against_its_sql(spark, sf):
+    import duckdb
+
+    from gristmill.llm.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(oracle_sql()["op1_grown_dedup"]).fetchall())
+    assert rows(queries()["op1_grown_dedup"](spark, sf)) == want
+
+
 def test_spans_odd_rows(spark):
     got = {(r.doc_id, r.text) for r in dedup_spans(clashing(spark)).collect()}
     assert (3, "") in got and (None, "shared line of text") in got and dedup_spans(empty(spark)).count() == 0
