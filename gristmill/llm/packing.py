@@ -28,19 +28,16 @@ NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 class Index:
     """The inverted index of one shard: per term its documents and BM25 weights."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, k1: float = 1.2, b: float = 0.75, terms: int = 24) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, k1: float = 1.2, b: float = 0.75) -> None:
         self.docs, self.n = docs, len(docs)
         sizes = np.array([len(d) for d in docs])
         self.owner = np.repeat(np.arange(self.n, dtype=np.int64), sizes)
         pairs, tf = np.unique((self.owner << 32) | np.concatenate(docs).astype(np.int64), return_counts=True)
         doc, term = pairs >> 32, pairs & 0xFFFFFFFF
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / max(1.0, sizes.mean())))
-        # a seed asks for its rarest terms that another document of the shard has
+        # a seed asks for all its terms that another document of the shard has
         held = np.bincount(term, minlength=len(idf))
-        useful = np.flatnonzero((held[term] > 1) & (idf[term] > 0))
-        order = useful[np.lexsort((term[useful], -weight[useful], doc[useful]))]
-        place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-        asked = order[place < terms]
+        asked = np.flatnonzero((held[term] > 1) & (idf[term] > 0))
         self.q_start = np.searchsorted(doc[asked], np.arange(self.n + 1))
         self.q_terms = term[asked]
         by_term = np.argsort(term, kind="stable")
@@ -48,7 +45,7 @@ class Index:
         self.p_doc, self.p_weight = doc[by_term], weight[by_term]
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term asked for, by descending score, ties by position."""
+        """Unused documents that share a term, by descending score, ties by position."""
         terms = self.q_terms[self.q_start[seed] : self.q_start[seed + 1]]
         if not len(terms):
             return terms

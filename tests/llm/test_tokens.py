@@ -8,7 +8,7 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gristmill.llm.packing import pack_documents
+from gristmill.llm.packing import Index, pack_documents
 from gristmill.llm.tokenfile import TokenReader, TokenWriter, tokens_on_disk
 from gristmill.llm.tokens import Encoder
 
@@ -134,3 +134,20 @@ def test_neighbours_share_words(spark):
     for p in pieces:
         by_seq.setdefault(p.sequence_id, set()).add(p.doc_id % 4)
     assert sum(len(s) for s in by_seq.values()) <= 1.6 * len(by_seq)
+
+
+def test_neighbours_by_all_terms_against_brute_force():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 400, rng.integers(60, 200)).astype("<u2") for _ in range(40)]
+    held = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
+    idf = np.log1p((40 - held + 0.5) / (held + 0.5)) * (held > 0)
+    index, mean, used = Index(docs, idf), np.mean([len(d) for d in docs]), np.zeros(40, bool)
+    for seed in range(40):
+        assert len(np.unique(docs[seed])) > 24
+        tf = np.array([np.bincount(d, minlength=400) for d in docs])[:, np.unique(docs[seed])]
+        sizes = np.array([len(d) for d in docs])[:, None]
+        scores = (idf[np.unique(docs[seed])] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes / mean))).sum(1)
+        used[:] = False
+        used[[seed, (seed + 1) % 40]] = True
+        want = [d for d in np.argsort(-scores, kind="stable") if not used[d]]
+        assert index.neighbours(seed, used).tolist() == want
