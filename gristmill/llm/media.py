@@ -53,8 +53,26 @@ def encode_png(payload: bytes, width: int = WIDTH, kind: int = 0, level: int = 6
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(LENGTH, struct.pack(">Q", len(payload))) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
+def _by_diagonals(rows: np.ndarray, above: np.ndarray, kind: int) -> np.ndarray:
+    """Undo Average (3) or Paeth (4): the samples of a diagonal depend only on the two diagonals before it."""
+    n, width = rows.shape
+    out = np.zeros((n + 1, width + 1), np.int16)
+    out[0, 1:], out[1:, 1:] = above, rows
+    for d in range(n + width - 1):
+        y = np.arange(max(0, d - width + 1), min(n, d + 1)) + 1
+        x = d + 2 - y
+        a, b, c = out[y, x - 1], out[y - 1, x], out[y - 1, x - 1]
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+        out[y, x] = (out[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def _unfiltered(lines: np.ndarray) -> np.ndarray:
-    """Undo row filters: runs of the first three kinds at once, Average and Paeth sample by sample."""
+    """Undo row filters: runs of the first three kinds at once, Average and Paeth by diagonals."""
     kinds, rows = lines[:, 0], lines[:, 1:].copy()
     if not kinds.any():
         return rows
@@ -69,18 +87,7 @@ def _unfiltered(lines: np.ndarray) -> np.ndarray:
         elif kind == 2:
             rows[lo:hi] = np.cumsum(np.vstack([above[None], rows[lo:hi]]), axis=0, dtype=np.uint8)[1:]
         elif kind > 2:
-            for y in range(lo, hi):
-                b, c, a, out = (rows[y - 1] if y else above).tolist(), 0, 0, rows[y].tolist()
-                for x, up in enumerate(b):
-                    if kind == 3:
-                        guess = (a + up) // 2
-                    else:
-                        p = a + up - c
-                        da, db, dc = abs(p - a), abs(p - up), abs(p - c)
-                        guess = a if da <= db and da <= dc else up if db <= dc else c
-                    a, c = (out[x] + guess) & 255, up
-                    out[x] = a
-                rows[y] = out
+            rows[lo:hi] = _by_diagonals(rows[lo:hi], above, kind)
     return rows
 
 

@@ -60,7 +60,7 @@ def op7_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = staged(encode_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    stored = staged(encode_media(table(spark, sf_dir, "documents").select("doc_id", "text"), kind=2), "media")
     return media_features(stored)
 
 

@@ -140,3 +140,18 @@ def test_quality_of_odd_rows(spark):
     none = fit_quality(odd(spark), labels.limit(0), F.lit(True))
     assert {round(r.score, 6) for r in score_documents(odd(spark), none).collect()} == {0.5}
     assert score_documents(empty(spark), none).count() == 0
+
+
+def test_media_query_undoes_a_real_filter(spark, sf, monkeypatch):
+    from gristmill.llm import queries
+
+    stored, keep = [], queries.staged
+    monkeypatch.setattr(queries, "staged", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    got = {r.doc_id: r.payload_sha256 for r in queries.op8_media_columns(spark, sf).collect()}
+    for r in stored[0].collect():
+        at = r.media.index(b"IDAT")
+        lines = zlib.decompress(r.media[at + 4 : at + 4 + int.from_bytes(r.media[at - 4 : at], "big")])
+        assert set(lines[:: 192 + 1]) == {2}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        text = (r.text or "").encode()
+        assert got[r.doc_id] == hashlib.sha256(text.ljust(max(192, -(-len(text) // 192) * 192), b" ")).hexdigest()
