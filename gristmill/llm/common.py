@@ -7,7 +7,6 @@ result may still read them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,22 +16,27 @@ from pyspark.sql import functions as F
 P = "__gm_"
 
 
-#: Folders made for applications whose session names none.
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as a full URI; one is made only where the session names none (tests)."""
+    """The folder all executors share, as a full URI: ``spark.checkpoint.dir``.  Without that setting only an application
+    with one machine can stage tables, in its warehouse; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="gristmill-")
-        found = _own[app]
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks ``df`` makes at the session's bytes a task, by the planner's estimate of its size; joins make
+    that estimate worthless, so it counts up to a petabyte only."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    each = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // each)) if size < 1 << 50 else usual
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
@@ -44,11 +48,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession, before: set[str]) -> None:
+    """Remove the staged tables that aren't in ``before``, a result of ``staged_now``; what reads them becomes invalid."""
+    store, top = _store(spark)
+    for name in staged_now(spark) - before:
+        store.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top, name), True)
+
+
+def staged_now(spark: SparkSession) -> set[str]:
+    """Names of the tables that this application has staged and not removed."""
+    store, top = _store(spark)
+    return {f.getPath().getName() for f in store.listStatus(top)} if store.exists(top) else set()
+
+
+def _store(spark: SparkSession):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def release(spark: SparkSession) -> None:
     """Remove all tables this application has staged; results that still read them become invalid."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    store, top = _store(spark)
+    store.delete(top, True)
 
 
 def with_outputs(df: DataFrame, row: str, outputs: dict[str, Column]) -> DataFrame:

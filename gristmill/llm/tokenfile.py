@@ -23,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, staged
+from .common import new_path, staged, tasks_for
 from .tokens import encoder
 
 # Fixed values of the seekable format.
 SEEK_MAGIC, SEEK_FOOTER, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX_MAGIC = 0x184D2A50
 
-MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long"
+MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long, first_id long, last_id long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -107,6 +107,10 @@ class TokenReader:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def find(self, doc_id: int | None) -> list[int]:
+        """Positions of the documents of an id."""
+        return np.flatnonzero(self.nulls if doc_id is None else (self.ids == doc_id) & ~self.nulls).tolist()
+
     def read(self, i: int) -> np.ndarray:
         """Token ids of the i-th document; touches its frames only."""
         parts = []
@@ -135,9 +139,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     speculative copies are harmless.  Rows are dealt by range; each task streams its rows to files of
     about ``file_tokens`` ids.
     """
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(partitions or tasks_for(rows), F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -151,22 +154,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         def close() -> None:
             writer.close()
             out.close()
-            done.append((part, seq, name, len(writer.docs), writer.n_tokens, writer.n_bytes))
+            known = [d for d, _ in writer.docs if d is not None]
+            done.append((part, seq, name, len(writer.docs), writer.n_tokens, writer.n_bytes, min(known, default=None), max(known, default=None)))
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.column(batch.column(1), end).to_pylist()):
                 if writer is None:
                     name = f"{base}/tokens-{part:06d}-{seq:04d}-{attempt}.zst"
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(name, compression=None)
                     writer = TokenWriter(out, enc.dtype.str)
-                writer.add(doc_id, ids + end)
+                writer.add(doc_id, ids)
                 if writer.n_tokens >= file_tokens:
                     close()
                     writer, seq = None, seq + 1
         if writer is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["part", "seq", "path", "n_docs", "n_tokens", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5))], names=[c.split(" ")[0] for c in MANIFEST.split(", ")])
 
     return staged(rows.mapInArrow(write, MANIFEST), "manifest")
 
@@ -195,6 +199,24 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
     return files.select("path", "base").repartition(n, "path").mapInArrow(read, DOCUMENTS)
 
 
+def fetch_documents(manifest: DataFrame, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and tokens (array<int>) of the documents of the ids asked for; opens the files whose ids reach around one
+    and decompresses the frames of these documents only.  Ids that no file holds give no row."""
+    asked = sorted(set(doc_ids))
+    near = F.exists(F.array(*map(F.lit, asked)), lambda i: i.between(F.col("first_id"), F.col("last_id"))) if asked else F.lit(False)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _filesystem(path)
+        for batch in batches:
+            for name, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("path", "first_id", "last_id"))):
+                with store.open_input_file(name) as f:
+                    reader = TokenReader(f, f.size())
+                    found = [(i, reader.read(k).astype(np.int32)) for i in asked if lo <= i <= hi for k in reader.find(i)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int32()))], names=["doc_id", "tokens"])
+
+    return manifest.where(near).select("path", "first_id", "last_id").mapInArrow(read, "doc_id long, tokens array<int>")
+
+
 def tokens_on_disk(spark: SparkSession, docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Writes the token files of ``docs`` and reads them back."""
     path = path or new_path(spark, "tokens")

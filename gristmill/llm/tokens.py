@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
+import string
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces kept per worker; the cache starts anew beyond it, which bounds its memory.
-CACHE = 500_000
-MARKS = ".,!?;:|"
+#: Pieces kept per worker; older ones go in halves, which bounds the worker's memory.
+CACHE = 1_000_000
+MARKS = string.punctuation
+#: Words that one call of the merge model takes.
+AT_ONCE = 200
 
 
 def default_path() -> str:
@@ -24,10 +30,11 @@ class Encoder:
     """Texts to token ids, as little-endian ``dtype`` bytes, equal to encoding each whole text.
 
     A byte-level tokenizer never joins characters across a space that stands before a non-space, nor
-    across a single newline between non-spaces.  So a text without other white space is cut there, each
+    across one or two newlines between non-spaces (two are two tokens).  So a text without other white space is cut there, each
     distinct piece is encoded once by the library, and the ids are joined; any other text is encoded
-    whole.  A piece of letters and trailing punctuation goes straight to the library's merge model, which
-    spares its offset tracking.  Strings of special tokens are ordinary text.
+    whole.  Words of letters go straight to the library's merge model, many in one call, if no merge rule joins a
+    word to what opens the next; this spares the library's offset tracking.  Strings of special tokens are
+    ordinary text.
     """
 
     def __init__(self, path: str | None = None, limit: int = CACHE) -> None:
@@ -39,6 +46,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.limit = limit
         self.cache: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         own = json.loads(self.lib.to_str())
         pre, model = own["pre_tokenizer"] or {}, own["model"]
         #: Only for this kind of tokenizer do the cuts above hold.
@@ -50,17 +58,38 @@ class Encoder:
             self.newline = self._ids(["\n"])[0]
             self.marks: dict[str, bytes] = {}
             kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            rest = [b for b in range(256) if b not in kept]
-            self.chars = {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(rest)}
-            self.space = self.chars[32]
+            own = {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in kept)}
+            #: Bytes to the alphabet of byte-level tokenizers.
+            self.alphabet = "".join(own[b] for b in range(256))
+            opening = (own[32], own[10])
+            back = {c: b for b, c in own.items()}
+
+            def joins(a: str, b: str) -> bool:
+                """Whether words of letters could hold this merge across the opening of a word."""
+                if not (b[0] in opening and a.strip("".join(opening)) or a[-1] == opening[1]):
+                    return False
+                text = bytes(back[c] for c in a + b).decode("utf-8", "surrogateescape")
+                return text.strip() != "" and all(c in " \n" or c.isalpha() or "\udc80" <= c <= "\udcff" for c in text)
+
+            rules = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+            self.at_once = 1 if any(joins(a, b) for a, b in rules) else AT_ONCE
+            self.opens = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.opens[[i for token, i in model["vocab"].items() if token[0] in opening]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.lib.encode_batch(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word of letters, with its space in front if it has one."""
-        mapped = word.replace(" ", self.space) if word.isascii() else word.encode().decode("latin1").translate(self.chars)
-        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each with a space or a newline in front of it."""
+        tokenize, alphabet, ids = self.model.tokenize, self.alphabet, array(self.code)
+        for at in range(0, len(words), self.at_once):
+            mapped = codecs.charmap_decode("".join(words[at : at + self.at_once]).encode(), "strict", alphabet)[0]
+            ids.extend([t.id for t in tokenize(mapped)])
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        cuts = (np.flatnonzero(self.opens[np.frombuffer(raw, self.dtype)]) * size).tolist()
+        if self.at_once == 1 or len(cuts) != len(words):
+            return self._ids(words)
+        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
 
     def _mark(self, end: str) -> bytes | None:
         """Ids of trailing punctuation; null for rare ones, so that they stay few."""
@@ -69,60 +98,112 @@ class Encoder:
         return self.marks.get(end)
 
     def _learn(self, pieces: Iterable[str]) -> None:
-        rest, cache, marks, word = [], self.cache, self.marks, self._word
-        tokenize, code, space = self.model.tokenize, self.code, self.space
+        cache, marks, mark = self.cache, self.marks, self._mark
+        words, ended, rest = [], [], []
         for p in pieces:
             stem = p.rstrip(MARKS)
-            if stem.isalpha():
-                plain = stem.isascii()
-                if plain or max(stem) < "\u0600":
-                    ids = cache.get(stem)
-                    if ids is None:
-                        ids = cache[stem] = array(code, [t.id for t in tokenize(space + stem)]).tobytes() if plain else word(" " + stem)
-                    if len(stem) == len(p):
-                        continue
-                    end = p[len(stem) :]
-                    mark = marks.get(end) or self._mark(end)
-                    if mark:
-                        cache[p] = ids + mark
-                        continue
-            elif p[:1] == "\n" and stem[1:].isalpha() and max(stem) < "\u0600":
+            core = stem[1:] if stem[:1] == "\n" else stem
+            if core.isalpha() and (core.isascii() or max(core) < "\u0600"):
+                if len(stem) == len(p):
+                    words.append(p)
+                    continue
                 end = p[len(stem) :]
-                mark = marks.get(end) or self._mark(end) if end else b""
-                if mark is not None:
-                    cache[p] = self.newline + word(stem[1:]) + mark
+                if end in marks or mark(end) is not None:
+                    ended.append((p, stem, end))
                     continue
             core = p[1:] if p[:1] == "\n" else p
             if core and core.split() == [core]:
                 rest.append(p)
             else:
                 cache[p] = None
+        words.extend({s for _, s, _ in ended if s not in cache}.difference(words))
+        cache.update(zip(words, self._words([w if w[0] == "\n" else " " + w for w in words])))
+        for p, stem, end in ended:
+            cache[p] = cache[stem] + marks[end]
         cache.update(zip(rest, self._ids([p if p[0] == "\n" else " " + p for p in rest])))
 
+    def _known(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces; null for a piece that can't be cut off."""
+        cache, older = self.cache, self.older
+        if len(cache) + len(pieces) > self.limit // 2:
+            older = self.older = cache
+            cache = self.cache = {}
+        new = [p for p in pieces if p not in cache]
+        if older:
+            held = [p for p in new if p in older]
+            cache.update(zip(held, [older[p] for p in held]))
+            new = [p for p in new if p not in older]
+        self._learn(new)
+        return [cache[p] for p in pieces]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; null is empty."""
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < 1_000_000):
-                chars += len(texts[end] or "")
-                end += 1
-            yield from self._some([t or "" for t in texts[at:end]])
-            at = end
-
-    def _some(self, texts: list[str]) -> Iterator[bytes]:
+        yield from self.column(pa.array(texts, pa.string())).to_pylist()
+
+    def column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Ids of each text of a column, ``end`` added to each, as a binary column; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        parts, at, done = [], 0, 0
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        while at < len(texts):  # pieces of a slice are counted in 32 bits
+            stop = max(at + 1, int(np.searchsorted(sizes, done + (64 << 20), side="right")))
+            parts.append(self._column(texts.slice(at, stop - at), end))
+            at, done = stop, int(sizes[stop - 1])
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
+
+    def _column(self, texts: pa.Array, end: bytes) -> pa.Array:
+        size = self.dtype.itemsize
         if not self.cuts:
-            yield from self._ids(texts)
-            return
-        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        self._learn(set().union(*cut).difference(self.cache))
-        for t, pieces in zip(texts, cut):
-            try:
-                yield b"".join(map(self.cache.__getitem__, pieces))[self.dtype.itemsize :]
-            except TypeError:  # a piece with other white space
-                yield self._ids([t])[0]
+            return pa.array([x + end for x in self._ids(texts.to_pylist())], pa.large_binary())
+        kind = texts.type
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n", kind), texts, pa.scalar("", kind)), "\n", " \n"), " ")
+        # each text has an empty part before the newline put in front of it: the place of the end before it
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        first = bounds[:-1]
+        lead = first + 1
+        coded = pc.dictionary_encode(cut.flatten())
+        every = coded.dictionary
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(every)], every), pa.scalar(" ", kind))[0].as_py().split(" ")
+        which = coded.indices.to_numpy()
+        ids = self._known(names)
+        lone = np.array([p == "\n" for p in names], bool)
+        bad = np.array([x is None for x in ids], bool)[which]
+        bad[first] = False
+        whole = np.zeros(len(texts), bool)
+        if bad.any():
+            # a newline is a piece if one follows and another piece, or the text's begin, stands before it
+            after = np.array([p[:1] == "\n" and x is not None for p, x in zip(names, ids)], bool)[which]
+            before = ~bad
+            alone = lone[which]
+            alone[1:] &= before[:-1]
+            alone[:-1] &= after[1:]
+            alone[-1] = False
+            bad &= ~alone
+            empty = lead[lone[which[lead]] & (np.diff(bounds) == 2)]
+            bad[empty] = False
+            whole = np.logical_or.reduceat(bad, first)
+        pool = [self.newline if p == "\n" else x or b"" for p, x in zip(names, ids)]
+        special = self._ids(texts.filter(pa.array(whole)).to_pylist()) if whole.any() else []
+        pool += [end, *special]
+        flat = np.frombuffer(b"".join(pool), self.dtype)
+        lens = np.fromiter(map(len, pool), np.int32, len(pool)) // size
+        starts = np.cumsum(lens, dtype=np.int32) - lens
+        begin, count = starts[which], lens[which]
+        begin[lead] += 1  # without the newline put in front
+        count[lead] -= 1
+        count[first] = 0
+        if special:
+            count[np.repeat(whole, np.diff(bounds))] = 0
+            begin[lead[whole]], count[lead[whole]] = starts[len(names) + 1 :], lens[len(names) + 1 :]
+        totals = np.add.reduceat(count, first) + len(end) // size
+        begin[first], count[first] = starts[len(names)], len(end) // size
+        count[0] = 0
+        begin, count = np.append(begin, starts[len(names)]), np.append(count, np.int32(len(end) // size))
+        ahead = np.cumsum(count, dtype=np.int32) - count
+        at = np.repeat(begin - ahead, count)
+        at += np.arange(len(at), dtype=np.int32)
+        offsets = np.concatenate([[0], np.cumsum(totals, dtype=np.int64)]) * size
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[at].tobytes())])
 
 
 _encoders: dict[str | None, Encoder] = {}

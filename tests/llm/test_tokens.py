@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gristmill.llm.packing import Index, pack_documents
-from gristmill.llm.tokenfile import TokenReader, TokenWriter, tokens_on_disk
+from gristmill.llm.tokenfile import TokenReader, TokenWriter, fetch_documents, tokens_on_disk, write_token_files
 from gristmill.llm.tokens import Encoder
 
 from .helpers import DDL, clashing, empty, odd
@@ -150,4 +150,39 @@ def test_neighbours_by_all_terms_against_brute_force():
         used[:] = False
         used[[seed, (seed + 1) % 40]] = True
         want = [d for d in np.argsort(-scores, kind="stable") if not used[d]]
-        assert index.neighbours(seed, used).tolist() == want
+        assert list(index.neighbours(seed, used, some=3)) == want == list(index.neighbours(seed, used))
+
+
+def test_copies_that_stand_apart_meet_in_a_window(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    pairs = [text(40) for _ in range(150)]
+    rows = [(i, t, "", "", 0) for i, t in enumerate([*pairs, *(text(40) for _ in range(900)), *pairs])]
+    pieces = pack_documents(spark.createDataFrame(rows, DDL).repartition(8), window=1024, shard_tokens=1 << 14).collect()
+    assert len({p.sequence_id >> 24 for p in pieces}) > 8  # shards
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.doc_id, set()).add(p.sequence_id)
+    together = sum(bool(windows[i] & windows[i + 1050]) for i in range(150))
+    assert together > 120
+
+
+def test_many_short_documents_take_linear_time():
+    import time
+
+    from gristmill.llm.packing import pack
+
+    idf = np.ones(300)
+    docs = [np.array([i % 290 + 1, 0], "<u2") for i in range(1 << 14)]
+    began = time.process_time()
+    assert sum(k for _, _, k, _, _ in pack(docs, idf, 1024)) == 1 << 15
+    assert time.process_time() - began < 5
+
+
+def test_documents_by_their_ids(spark, tmp_path):
+    rows = [(i * 3, f"text number {i} " * (i % 7), "", "", 0) for i in range(200)]
+    manifest = write_token_files(spark.createDataFrame(rows, DDL), str(tmp_path), file_tokens=100, partitions=3)
+    assert manifest.count() > 5
+    got = {r.doc_id: r.tokens for r in fetch_documents(manifest, str(tmp_path), [3, 300, 301, 597]).collect()}
+    want = {i: [*np.frombuffer(ENCODER._ids([rows[i // 3][1]])[0], "<u2").tolist(), 0] for i in (3, 300, 597)}
+    assert got == want and fetch_documents(manifest, str(tmp_path), []).count() == 0
