@@ -32,20 +32,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined back by a plain equi-join that the adaptive planner can split.
     """
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    keys = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(P + "id"), F.explode(F.transform(lines, line_key)).alias(P + "key"))
-    keys = keys.where(F.length(P + "key") >= min_chars).select(P + "id", key_hash(F.col(P + "key")).alias(P + "h"))
+    own = [P + "id", P + "t"]
+    keys = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(P + "id"), F.xxhash64(text_col).alias(P + "t"), F.posexplode(F.transform(lines, line_key)).alias(P + "pos", P + "key"))
+    keys = keys.where(F.length(P + "key") >= min_chars).select(*own, P + "pos", key_hash(F.col(P + "key")).alias(P + "h"))
     found = keys.groupBy(P + "h").agg(F.count_distinct(P + "id").alias(P + "n"), F.min(P + "id").alias(P + "first"))
     common = staged(found.where(F.col(P + "n") >= min_docs).select(P + "h", P + "first"), "lines")
     drop = keys.join(common, P + "h").where(F.col(P + "id") != F.col(P + "first"))
-    drop = drop.groupBy(P + "id").agg(F.collect_set(P + "h").alias(P + "drop"))
-    rows = docs.select(as_row(docs), F.col(id_col).alias(P + "id"), lines.alias(P + "lines"))
-    rows = rows.join(drop, P + "id", "left")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col(P + "drop"), key_hash(key))
-
-    rows = rows.withColumn(P + "kept", F.when(F.col(P + "drop").isNull(), F.col(P + "lines")).otherwise(F.filter(P + "lines", stays)))
+    drop = drop.groupBy(*own).agg(F.collect_set(P + "pos").alias(P + "drop"))
+    rows = docs.select(as_row(docs), F.col(id_col).alias(P + "id"), F.xxhash64(text_col).alias(P + "t"), lines.alias(P + "lines"))
+    rows = rows.join(drop, own, "left")
+    # positions that stay, by a hash set, in order
+    stay = F.array_except(F.sequence(F.lit(1), F.size(P + "lines")), F.transform(P + "drop", lambda i: i + 1))
+    kept = F.transform(stay, lambda i: F.element_at(F.col(P + "lines"), i))
+    rows = rows.withColumn(P + "kept", F.when(F.col(P + "drop").isNull(), F.col(P + "lines")).otherwise(kept))
     return with_outputs(rows, P + "row", {
         text_col: F.array_join(P + "kept", "\n"), "n_lines": F.size(P + "lines").cast("long"),
         "n_dropped": (F.size(P + "lines") - F.size(P + "kept")).cast("long"),
