@@ -29,11 +29,6 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-def op1_grown_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_spans(table(spark, sf_dir, "documents"), grow=True)
-    return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
-
-
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -102,45 +97,20 @@ WITH units AS (
 plain AS (
   SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\r]+', ' ', 'g'), ' ') AS s FROM units),
 sized AS (SELECT *, len(string_split(s, ' ')) AS w FROM plain),
-spans AS (
-  SELECT doc_id, pos, 1 AS length, s AS span FROM sized WHERE w >= 25
-  UNION ALL
-  SELECT doc_id, pos, 2 AS length, s || chr(10) || next_s AS span
-  FROM (SELECT *, lead(s) OVER o AS next_s, lead(w) OVER o AS next_w FROM sized WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
-  WHERE w + next_w >= 14),
-firsts AS (SELECT span, length, min(row(doc_id, pos)) AS f FROM spans GROUP BY span, length HAVING count(*) > 1),
-hit AS (
-  SELECT DISTINCT doc_id, pos + k AS pos
-  FROM (SELECT spans.doc_id, spans.pos, spans.length FROM spans JOIN firsts ON spans.span = firsts.span AND spans.length = firsts.length
-        WHERE row(spans.doc_id, spans.pos) <> firsts.f), (SELECT unnest([0, 1]) AS k) WHERE k < length),
-marked AS (
-  SELECT units.*, hit.pos IS NOT NULL AS gone FROM units LEFT JOIN hit ON units.doc_id = hit.doc_id AND units.pos = hit.pos)
-SELECT d.doc_id, count(m.pos) AS n_sentences, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(string_agg(unit, '' ORDER BY m.pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
-"""
-
-OP1_GROWN_SQL = r"""
-WITH units AS (
-  SELECT doc_id, generate_subscripts(u, 1) AS pos, unnest(u) AS unit
-  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+') AS u FROM documents)),
-plain AS (
-  SELECT *, trim(regexp_replace(lower(unit), '[ \t\n\r]+', ' ', 'g'), ' ') AS s FROM units),
-sized AS (SELECT *, len(string_split(s, ' ')) AS w FROM plain),
 windows AS (
   SELECT a.doc_id, a.pos, b.pos - a.pos + 1 AS length, sum(b.w) OVER o AS words, string_agg(b.s, chr(10)) OVER o AS span
-  FROM sized AS a JOIN sized AS b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 13
+  FROM sized AS a JOIN sized AS b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 24
   WINDOW o AS (PARTITION BY a.doc_id, a.pos ORDER BY b.pos)),
 spans AS (
-  SELECT doc_id, pos, 1 AS length, s AS span FROM sized WHERE w >= 25
+  SELECT doc_id, pos, 1 AS length, s AS span FROM sized WHERE w >= 50
   UNION ALL
-  SELECT doc_id, pos, length, span FROM windows WHERE length >= 2 AND words >= 14
+  SELECT doc_id, pos, length, span FROM windows WHERE length >= 2 AND words >= 25
   QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY length) = 1),
 firsts AS (SELECT span, length, min(row(doc_id, pos)) AS f FROM spans GROUP BY span, length HAVING count(*) > 1),
 hit AS (
   SELECT DISTINCT doc_id, pos + k AS pos
   FROM (SELECT spans.doc_id, spans.pos, spans.length FROM spans JOIN firsts ON spans.span = firsts.span AND spans.length = firsts.length
-        WHERE row(spans.doc_id, spans.pos) <> firsts.f), (SELECT unnest(range(14)) AS k) WHERE k < length),
+        WHERE row(spans.doc_id, spans.pos) <> firsts.f), (SELECT unnest(range(25)) AS k) WHERE k < length),
 marked AS (
   SELECT units.*, hit.pos IS NOT NULL AS gone FROM units LEFT JOIN hit ON units.doc_id = hit.doc_id AND units.pos = hit.pos)
 SELECT d.doc_id, count(m.pos) AS n_sentences, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_removed,
@@ -164,9 +134,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op1_grown_dedup, op2_retrieval_packing, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op7_minhash_classes, op8_media_columns, op9_line_dedup, op10_quality_classifier,
+        op1_substring_dedup, op2_retrieval_packing, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op7_minhash_classes, op8_media_columns, op9_line_dedup, op10_quality_classifier,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op1_grown_dedup": OP1_GROWN_SQL, "op4_exact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL}

@@ -2,68 +2,86 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, as_row, staged, with_outputs
 
 #: A sentence with what follows it up to the next; the parts of a text make up the whole text.
-SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+"
+SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\n\r]*|[^.!?\n]+")
+_WHITE = re.compile(r"[ \t\n\r]+")
+
+
+def runs_of(text: str | None, sentences: int, min_words: int, long_words: int) -> Iterator[tuple[int, int, bytes]]:
+    """(position, sentences, 128-bit hash) of each run of a text."""
+    plain = [_WHITE.sub(" ", s).strip(" ") for s in SENTENCE.findall((text or "").lower())]
+    ends = np.cumsum([0, *(s.count(" ") + 1 for s in plain)]).tolist()
+    n, stop = len(plain), 0
+    for at in range(n):
+        stop = max(stop, at + sentences)
+        while stop <= n and ends[stop] - ends[at] < min_words:
+            stop += 1
+        if stop <= n:
+            yield at, stop - at, xxhash.xxh3_128_digest("\n".join(plain[at:stop]))
+        if ends[at + 1] - ends[at] >= long_words:
+            yield at, 1, xxhash.xxh3_128_digest(plain[at])
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, min_words: int = 14, long_words: int = 25, grow: bool = False) -> DataFrame:
-    """Hashes every run of ``sentences`` consecutive sentences that has at least ``min_words`` words, and every
-    sentence of at least ``long_words`` words, compared in lower case with white space made one space.
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, min_words: int = 25, long_words: int = 50) -> DataFrame:
+    """Hashes a run from every sentence, of ``sentences`` sentences and as many more as it takes to have
+    ``min_words`` words, so that each run of several sentences lies in hashed ones however short its sentences are;
+    a sentence of ``long_words`` words is a run too.  Runs are compared in lower case with white space made one space.
     Removes the sentences that any run covers which is not the first of its hash by (id, position).
-    With ``grow``, the run from a sentence doesn't stop at ``sentences`` sentences but takes as many more as it
-    needs to have ``min_words`` words, so that passages of short sentences have runs too; all other runs are the same.
 
     Returns the input's columns with the text reassembled, and n_sentences (before) and n_removed.  A null
-    or empty text has no sentences and becomes ''.  A text with fewer sentences has no run and stays.
+    or empty text has no sentences and becomes ''.  A text with fewer sentences or words has no run and stays.
     Rows with a null id stay as they are and count for nothing.  Rows of one id and one text are one
-    document; rows of one id and other texts are told apart by a hash of the text.  Rows of a hot run are
-    joined by a plain equi-join that the adaptive planner can split.
+    document; rows of one id and other texts are told apart by a hash of the text.  A hot run is counted by partial
+    sums, and its rows are joined by plain equi-joins that the adaptive planner can split.
     """
-    key = [F.col(P + "id"), F.col(P + "t")]
-    parts = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(SENTENCE), F.lit(0))
-    base = docs.select(F.col(id_col).alias(P + "id"), F.xxhash64(text_col).alias(P + "t"), parts.alias(P + "parts")).where(F.col(P + "id").isNotNull())
-    plain = F.transform(P + "parts", lambda s: F.btrim(F.regexp_replace(F.lower(s), r"[ \t\n\r]+", " ")))
-    each = F.transform(plain, lambda s, i: F.struct(F.unhex(F.md5(F.encode(s, "UTF-8"))).alias("h"), F.size(F.split(s, " ", -1)).alias("w"), i.alias("pos")))
-    base = base.select(*key, each.alias(P + "each"), F.size(P + "parts").alias(P + "n"))
+    key = [P + "id", P + "t"]
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(key[0]), F.xxhash64(text_col).alias(key[1]), F.col(text_col).alias(P + "text"))
+    id_type = base.schema[P + "id"].dataType.simpleString()
 
-    def runs(length: int, words: int):
-        windows = [F.slice(P + "each", F.lit(i + 1), F.greatest(F.col(P + "n") - (length - 1), F.lit(0))).alias(f"w{i}") for i in range(length)]
-        made = F.transform(F.arrays_zip(*windows), lambda z: F.struct(
-            F.unhex(F.md5(F.concat(*(z[f"w{i}"]["h"] for i in range(length))))).alias("h"), z["w0"]["pos"].alias("pos"), F.lit(length).alias("length"),
-            sum((z[f"w{i}"]["w"] for i in range(1, length)), z["w0"]["w"]).alias("w"),
-        ))
-        return F.filter(made, lambda r: r["w"] >= words)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
+                found = [(row, *run) for row, text in enumerate(part.column(2).to_pylist()) for run in runs_of(text, sentences, min_words, long_words)]
+                own = pa.array([f[0] for f in found], pa.int64())
+                h = np.frombuffer(b"".join(f[3] for f in found), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(own), part.column(1).take(own), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
+                    names=[*key, "pos", "length", "h1", "h2"],
+                )
 
-    def grown():
-        none = F.struct(F.lit(b"").alias("h"), F.lit(0).alias("length"), F.lit(0).alias("w"))
-        short = lambda a: (a["length"] < sentences) | (a["w"] < min_words)
-        more = lambda a, e: F.struct(F.concat(a["h"], e["h"]).alias("h"), (a["length"] + 1).alias("length"), (a["w"] + e["w"]).alias("w"))
-        # a sentence counts as one word at least, so no run has more sentences than this
-        reach = lambda e: F.slice(P + "each", e["pos"] + 1, F.lit(max(sentences, min_words)))
-        run = lambda e: F.aggregate(reach(e), none, lambda a, x: F.when(short(a), more(a, x)).otherwise(a))
-        made = F.filter(F.transform(P + "each", lambda e: F.struct(run(e).alias("run"), e["pos"].alias("pos"))), lambda r: ~short(r["run"]))
-        return F.transform(made, lambda r: F.struct(F.unhex(F.md5(r["run"]["h"])).alias("h"), r["pos"].alias("pos"), r["run"]["length"].alias("length"), r["run"]["w"].alias("w")))
-
-    rows = base.select(*key, F.explode(F.concat(grown() if grow else runs(sentences, min_words), runs(1, long_words))).alias(P + "run"))
-    rows = rows.select(*key, F.col(P + "run")["pos"].alias(P + "pos"), F.col(P + "run")["length"].alias(P + "length"), F.col(P + "run")["h"].alias(P + "h"))
-    at = F.struct(*key, F.col(P + "pos"))
-    found = rows.groupBy(P + "h").agg(F.min(at).alias(P + "first"), F.max(at).alias(P + "last"))
-    repeated = staged(found.where(F.col(P + "first") != F.col(P + "last")).select(P + "h", P + "first"), "runs")
-    later = rows.join(repeated, P + "h").where(at != F.col(P + "first"))
-    gone = later.groupBy(P + "id", P + "t").agg(F.collect_set(F.struct(P + "pos", P + "length")).alias(P + "runs"))
-    spread = F.flatten(F.transform(P + "runs", lambda r: F.sequence(r[P + "pos"], r[P + "pos"] + r[P + "length"] - 1)))
+    runs = staged(base.mapInArrow(hashed, f"`{key[0]}` {id_type}, `{key[1]}` long, pos int, length int, h1 long, h2 long"), "runs")
+    at = F.struct(*key, "pos")
+    often = staged(runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "often")
+    again = staged(runs.join(often, ["h1", "h2"]), "again")
+    first = staged(again.groupBy("h1", "h2").agg(F.min(at).alias("first")), "first")
+    later = again.join(first, ["h1", "h2"]).where(at != F.col("first"))
+    gone = later.groupBy(*key).agg(F.collect_set(F.struct("pos", "length")).alias(P + "runs"))
+    spread = F.flatten(F.transform(P + "runs", lambda r: F.sequence(r["pos"], r["pos"] + r["length"] - 1)))
     gone = gone.select(*key, F.array_distinct(spread).alias(P + "gone"))
-    whole = docs.select(as_row(docs), F.col(id_col).alias(P + "id"), F.xxhash64(text_col).alias(P + "t"), F.coalesce(F.col(text_col), F.lit("")).alias(P + "text"))
-    whole = whole.join(gone, [P + "id", P + "t"], "left").withColumn(P + "parts", F.regexp_extract_all(P + "text", F.lit(SENTENCE), F.lit(0)))
-    marked = F.map_from_arrays(P + "gone", P + "gone")
-    kept = F.filter(P + "parts", lambda s, i: ~F.map_contains_key(F.col(P + "map"), i))
-    whole = whole.withColumn(P + "map", marked)
-    text = F.when(F.col(P + "gone").isNull(), F.col(P + "text")).otherwise(F.array_join(kept, ""))
-    return with_outputs(whole, P + "row", {
-        text_col: text, "n_sentences": F.size(P + "parts").cast("long"), "n_removed": F.when(F.col(P + "gone").isNull(), 0).otherwise(F.size(P + "gone")).cast("long"),
-    })
+
+    @F.pandas_udf("text string, n_sentences long, n_removed long")
+    def reassembled(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, positions in zip(texts, gone):
+            parts = SENTENCE.findall(text or "")
+            away = set() if positions is None else set(positions.tolist())
+            out.append(("".join(s for i, s in enumerate(parts) if i not in away) if away else text or "", len(parts), len(away)))
+        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
+
+    whole = docs.select(as_row(docs), F.col(id_col).alias(key[0]), F.xxhash64(text_col).alias(key[1]), F.col(text_col).alias(P + "text"))
+    whole = whole.join(gone, key, "left").withColumn(P + "new", reassembled(P + "text", P + "gone"))
+    new = F.col(P + "new")
+    return with_outputs(whole, P + "row", {text_col: new["text"], "n_sentences": new["n_sentences"], "n_removed": new["n_removed"]})
