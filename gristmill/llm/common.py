@@ -85,16 +85,17 @@ def as_row(df: DataFrame, name: str = P + "row") -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_bucket: int = 2_000, deal: str | None = None) -> DataFrame:
     """Adds ``out``: 0, 1, 2, ... within each group, however large, without one task holding a group.
 
-    Rows are dealt to hash buckets of about ``rows_per_bucket`` rows; a bucket's offset is the number of
+    Rows are dealt to buckets of about ``rows_per_bucket`` rows, by a hash of ``order`` or by the fixed long column
+    ``deal``, which can spread equal rows; a bucket's offset is the number of
     its group's rows in smaller buckets.  The order is by bucket, then ``order``.  ``df`` is read three
     times, so stage it if it is costly.  Nulls in ``group`` make a group of their own.
     """
     b, n, before = P + "bucket", P + "n", P + "before"
     buckets = max(1, -(-df.count() // rows_per_bucket))
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(F.lit(91), *order), F.lit(buckets)))
+    dealt = df.withColumn(b, F.pmod(F.col(deal) if deal else F.xxhash64(F.lit(91), *order), F.lit(buckets)))
     sums = dealt.groupBy(*group, b).agg(F.count(F.lit(1)).alias(n))
     sums = sums.withColumn(before, F.sum(n).over(Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)))
     sums = sums.select(*(F.col(c).alias(P + "k_" + c) for c in group), F.col(b).alias(P + "k_b"), F.coalesce(before, F.lit(0)).alias(before))

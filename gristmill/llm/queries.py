@@ -14,7 +14,7 @@ from .minhash import near_duplicates
 from .mixing import mix_counts
 from .packing import pack_documents
 from .quality import fit_quality, held_out, score_documents
-from .sharding import layout, shard_documents
+from .sharding import grown, layout, shard_documents
 from .spans import dedup_spans
 from .tokenfile import tokens_on_disk
 from .topk import top_products
@@ -46,7 +46,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_documents(table(spark, sf_dir, "documents"), layout(40), layout(41))
+    out = shard_documents(table(spark, sf_dir, "documents"), layout(40), grown(layout(40), 40))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
