@@ -2,8 +2,8 @@
 
 Each source's words, its documents one after another, make fixed-length blocks.  Output shards have slots;
 each slot draws its source, which makes a shard's counts multinomial, and the few slots that a source drew
-beyond its target's number of blocks go to the sources that drew too few, so totals are exact.  The n-th
-slot of a source is mapped through the source's pseudorandom permutation of block indexes, a new one for
+beyond its target's number of blocks, picked by hash over all shards, go to the sources that drew too few, so
+totals are exact.  The n-th slot of a source is mapped through the source's pseudorandom permutation of block indexes, a new one for
 each pass over the source, and blocks are joined by index.  All draws are hashes, so reruns agree.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import P, as_row, staged
 
+WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -49,18 +50,26 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
     return s.select("source", "s", "size", "weight", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns; maps, which have no order, by their entries in order."""
+    return F.xxhash64(*(F.array_sort(F.map_entries(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema.fields))
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column) -> DataFrame:
+    """One row for equal rows, with their number."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(source_col).alias("source"), words.alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(source_col).alias("source"), words.alias("size"), row.alias("r"))
+    return rows.groupBy("id", "t", "source", "size", "r").agg(F.count(F.lit(1)).alias("copies"))
 
 
 class Mix:
     """The plan of a mix: ``sources`` (with targets), ``documents`` (each with its place in its source's
     stream), ``slots`` (shard, s, epoch, block) and ``pieces``, the documents' parts that slots take."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, block_words: int = 64, shard_slots: int = 4096, seed: int = 5, bucket_rows: int = 20_000) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, block_words: int = 64, shard_slots: int = 4096, seed: int = 5, bucket_rows: int = 2_000, row: Column | None = None) -> None:
         self.seed, self.block = F.lit(seed), block_words
-        rows = staged(sized(docs, id_col, text_col, source_col), "sizes")
+        alike = staged(sized(docs, id_col, text_col, source_col, F.lit(0) if row is None else row), "sizes")
+        rows = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
         self.sources = staged(self._wanted(targets(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, cap), cap), "sources")
         self.documents = staged(self._streams(rows, bucket_rows), "streams")
         self.slots = self._slots(shard_slots)
@@ -78,13 +87,13 @@ class Mix:
         """Places in the streams, by sums in hash buckets of bounded size and over buckets."""
         rows = rows.join(self.sources.select(F.col("source").alias("of"), "s", F.col("size").alias("source_size"), "target"), rows["source"].eqNullSafe(F.col("of"))).drop("of")
         buckets = max(1, -(-rows.count() // bucket_rows))
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(3), "id", "t"), F.lit(buckets)))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(3), "id", "t", "copy"), F.lit(buckets)))
         sums = rows.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
         sums = sums.select(F.col("s").alias("s2"), F.col("bucket").alias("b2"), F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(*BEFORE)), F.lit(0)).alias("base"))
-        inside = Window.partitionBy("s", "bucket").orderBy("id", "t", "size")
+        inside = Window.partitionBy("s", "bucket").orderBy("id", "t", "size", "copy", "r")
         rows = rows.withColumns({"n": F.row_number().over(inside), "ahead": F.coalesce(F.sum("size").over(inside.rowsBetween(*BEFORE)), F.lit(0))})
         rows = rows.join(sums, (F.col("s") == F.col("s2")) & (F.col("bucket") == F.col("b2")))
-        return rows.select("id", "t", "source", "size", "s", "source_size", "target", "bucket", "n", (F.col("base") + F.col("ahead")).alias("start"))
+        return rows.select("id", "t", "r", "source", "size", "s", "source_size", "target", "bucket", "n", (F.col("base") + F.col("ahead")).alias("start"))
 
     def _slots(self, shard_slots: int) -> DataFrame:
         spark = self.sources.sparkSession
@@ -96,7 +105,12 @@ class Mix:
         slots = spark.range(total).select("id", F.expr(f"id div {shard_slots}").alias("shard")).withColumn("u", F.pmod(F.xxhash64(self.seed, "shard", "id"), F.lit(max(total, 1))))
         drawn = slots.withColumn("cell", F.expr(f"u div {width}")).join(ranges, "cell").where("u >= lo and u < hi").select("id", "shard", "s")
         counts = staged(drawn.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n")), "counts")
-        before = counts.select(F.col("shard").alias("shard2"), F.col("s").alias("s2"), F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(*BEFORE)), F.lit(0)).alias("base"))
+        # sums over a source's shards: over ranges of shards, then within a range
+        far = counts.groupBy("s", F.expr("shard div 4096").alias("far")).agg(F.sum("n").alias("m"))
+        far = far.select("s", "far", F.coalesce(F.sum("m").over(Window.partitionBy("s").orderBy("far").rowsBetween(*BEFORE)), F.lit(0)).alias("ahead"))
+        near = F.coalesce(F.sum("n").over(Window.partitionBy("s", "far").orderBy("shard").rowsBetween(*BEFORE)), F.lit(0))
+        before = counts.withColumn("far", F.expr("shard div 4096")).withColumn("near", near).join(far, ["s", "far"])
+        before = before.select(F.col("shard").alias("shard2"), F.col("s").alias("s2"), (F.col("ahead") + F.col("near")).alias("base"))
         own = Window.partitionBy("shard", "s").orderBy("id")  # shard_slots rows at most
         drawn = drawn.withColumn("k", F.row_number().over(own) - 1).join(before, (F.col("shard") == F.col("shard2")) & (F.col("s") == F.col("s2")))
         drawn = drawn.select("id", "shard", "s", (F.col("base") + F.col("k")).alias("rank"))
@@ -106,7 +120,9 @@ class Mix:
         got = staged(got, "drawn")
         free = got.where("under > 0").select(F.col("s").alias("to"), "got", "under_base", F.explode(F.sequence(F.col("got"), F.col("want") - 1)).alias("as_rank"))
         free = free.select("to", "as_rank", (F.col("under_base") + F.col("as_rank") - F.col("got")).alias("place"))
-        drawn = drawn.join(got.select("s", "want", "over_base"), "s").withColumn("place", F.when(F.col("rank") >= F.col("want"), F.col("over_base") + F.col("rank") - F.col("want")))
+        drawn = drawn.join(got.select("s", "want", "got", "over_base"), "s")
+        # surplus slots are those of the last places of a permutation, whatever their shards
+        drawn = drawn.withColumn("rank", permuted(F.col("rank"), F.col("got"), self.seed, F.lit(23), F.col("s"))).withColumn("place", F.when(F.col("rank") >= F.col("want"), F.col("over_base") + F.col("rank") - F.col("want")))
         moved = drawn.where("place is not null").join(free, "place").select("id", "shard", F.col("to").alias("s"), F.col("as_rank").alias("rank"))
         final = drawn.where("place is null").select("id", "shard", "s", "rank").unionByName(moved).join(self.sources.select("s", "blocks"), "s")
         epoch = F.expr("rank div blocks")
@@ -139,25 +155,28 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = None, **options) -> DataFrame:
     """The mixed corpus, in the input's columns: a row per document and pass that takes words of it, with the
-    text whole where all its words are taken, else with the words taken, single spaces between them.
+    text whole where all its words are taken, else the parts of the text that are taken, with the white space in front of
+    each but the first.  Equal rows are told from rows that differ in any column.
 
     ``length_col`` names a column to set to the new text's length.  Documents taken in no pass don't
     appear.  Nulls as in ``mix_counts``.
     """
-    mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, row=row_hash(docs), **options)
     parts = mix.pieces().where("epoch is not null")
-    passes = parts.groupBy("id", "t", "source", "s", "bucket", "n", "epoch", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
-    taken = passes.groupBy("id", "t", "source").agg(F.collect_list(F.struct("bucket", "n", "epoch", "size", "words", "ranges")).alias("passes"))
-    key = [P + "id", P + "t", P + "source"]
-    rows = docs.select(as_row(docs), F.col(id_col).alias(key[0]), F.xxhash64(text_col).alias(key[1]), F.col(source_col).alias(key[2]))
-    rows = rows.groupBy(*key).agg(F.first(P + "row").alias(P + "row"))
-    on = rows[key[0]].eqNullSafe(taken["id"]) & (rows[key[1]] == taken["t"]) & rows[key[2]].eqNullSafe(taken["source"])
+    passes = parts.groupBy("id", "r", "source", "s", "bucket", "n", "epoch", "size").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
+    taken = passes.groupBy("id", "r", "source").agg(F.collect_list(F.struct("bucket", "n", "epoch", "size", "words", "ranges")).alias("passes"))
+    key = [P + "id", P + "r", P + "source"]
+    rows = docs.select(as_row(docs), F.col(id_col).alias(key[0]), row_hash(docs).alias(key[1]), F.col(source_col).alias(key[2]))
+    rows = rows.groupBy(*key).agg(F.first(P + "row").alias(P + "row"))  # equal rows
+    on = rows[key[0]].eqNullSafe(taken["id"]) & (rows[key[1]] == taken["r"]) & rows[key[2]].eqNullSafe(taken["source"])
     rows = rows.join(taken, on).select(P + "row", F.explode("passes").alias(P + "pass"))
     text, got = F.col(P + "row").getField(text_col), F.col(P + "pass")
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    # a word with the white space before it; what a slot takes is cut from the text as it stands
+    words = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     rows = rows.withColumn(P + "words", F.when(got["words"] < got["size"], words))
-    part = F.flatten(F.transform(got["ranges"], lambda r: F.slice(F.col(P + "words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int"))))
-    new = F.when(got["words"] == got["size"], text).otherwise(F.array_join(part, " "))
+    cut = lambda r: F.array_join(F.slice(F.col(P + "words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), "")
+    part = F.array_join(F.transform(got["ranges"], lambda r, i: F.when(i == 0, F.btrim(cut(r), F.lit(WHITE))).otherwise(cut(r))), "")
+    new = F.when(got["words"] == got["size"], text).otherwise(part)
     rows = rows.withColumn(P + "text", new)
     swap = {text_col: F.col(P + "text")} | ({length_col: F.length(P + "text").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
     return rows.select(*((swap[c] if c in swap else F.col(P + "row").getField(c)).alias(c) for c in docs.columns))
