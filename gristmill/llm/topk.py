@@ -1,11 +1,12 @@
 """Exact top-k by inner product over integer vectors, pruned by norms and by partial sums.
 
 Vectors are sorted by descending length and cut into blocks; query blocks meet candidate blocks on a grid
-whose cells stream their blocks from the longest vectors down.  A block is skipped for queries whose bound
-|q| * (block's greatest length) is below their k-th score.  Inside a block, coordinates are rotated by the
+whose cells stream their blocks from the longest vectors down.  Thresholds start from the block of the longest
+vectors; a candidate block is sent only to query blocks of which a query's bound |q| * (block's greatest length)
+reaches its threshold, and is skipped for queries whose bound is below their k-th score by then.  Inside a block, coordinates are rotated by the
 right singular vectors of all vectors, so that few leading ones hold most of a product; the rest is
 bounded by Cauchy-Schwarz, and only pairs whose partial sum and bound reach the threshold are computed
-in full, from the integers.  Thresholds start from the block of the longest vectors.
+in full, from the integers.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, staged
+from .common import staged, tasks_for
 
-BLOCKS = "kind int, block long, top double, n int, ids binary, cells binary"
+BLOCKS = "kind int, block long, top double, n int, ids binary, cells binary, held string"
 HITS = "qblock int, pos int, query_id long, vec_id long, score long"
 EXACT = 2.0**53
 
@@ -133,7 +134,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
         whole[r.i, r.j] = r.x
     turn = np.linalg.svd(whole)[0] if np.isfinite(whole).all() else np.eye(dims)
     ahead = max(1, int(dims * lead))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(good)
 
     def blocks_of(rows: DataFrame, kind: int, size: int) -> DataFrame:
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,9 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
 
             def made(i: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
                 top = float(np.sqrt((c**2).sum(1)).max())
-                return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([next(label)], pa.int64()), pa.array([top]), pa.array([len(i)], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=["kind", "block", "top", "n", "ids", "cells"])
+                most = float(abs(c).max(initial=0))
+                held = next((t for t, m in (("<i2", 2**15), ("<i4", 2**31)) if most < m), "<f8")
+                return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([next(label)], pa.int64()), pa.array([top]), pa.array([len(i)], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([c.astype(held).tobytes()], pa.binary()), pa.array([held])], names=["kind", "block", "top", "n", "ids", "cells", "held"])
 
             for batch in batches:
                 ids = np.concatenate([ids, batch.column(0).to_numpy()])
@@ -160,7 +163,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     asked = blocks_of(good.where("q"), 0, query_block)
     # a number per block, by a window without the cells, which then come by a join
     keyed = asked.select(F.col("block").alias("h")).withColumn("b", F.row_number().over(Window.orderBy("h")) - 1)
-    asked = staged(asked.join(keyed, asked["block"] == F.col("h")).select("kind", F.col("b").cast("int").alias("block"), "top", "n", "ids", "cells"), "queries")
+    asked = staged(asked.join(keyed, asked["block"] == F.col("h")).select("kind", F.col("b").cast("int").alias("block"), "top", "n", "ids", "cells", "held"), "queries")
     many = asked.count()
     groups = max(1, min(n, candidates.count()))
     longest = candidates.orderBy(F.desc("top")).limit(1)
@@ -168,7 +171,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
     def arrays(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
         names = batch.schema.names
         ids = np.frombuffer(batch.column(names.index("ids"))[r].as_py(), np.int64)
-        return ids, np.frombuffer(batch.column(names.index("cells"))[r].as_py(), np.float64).reshape(len(ids), dims)
+        held = batch.column(names.index("held"))[r].as_py()
+        return ids, np.frombuffer(batch.column(names.index("cells"))[r].as_py(), held).astype(np.float64).reshape(len(ids), dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, cell = None, None
@@ -187,31 +191,47 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: float
         if best:
             yield _record(list(best.hits(cell[0])))
 
-    def grid(asked: DataFrame, candidates: DataFrame, groups: int) -> DataFrame:
-        """Each cell's query block, then its candidate blocks by descending length."""
+    def grid(asked: DataFrame, candidates: DataFrame, groups: int, needs: np.ndarray) -> DataFrame:
+        """Each cell's query block, then its candidate blocks by descending length.  Query blocks are numbered by the
+        length that they need, so a candidate block goes to the first ones, as many as its length reaches."""
+
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tops = batch.column(1).to_numpy() * (1 + 1e-9)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(needs, tops, side="right"), pa.int64())], names=["of", "many"])
+
         qs = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell"))
-        cs = candidates.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).drop("block")
-        cs = cs.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(many, 1) - 1))).alias("block"), F.lit(None).cast("binary").alias("floor"))
-        both = qs.unionByName(cs).repartition(n, "block", "cell").sortWithinPartitions("block", "cell", "kind", F.desc("top"))
+        near = candidates.select("block", "top").mapInArrow(reached, "of long, many long").where("many > 0")
+        cs = candidates.join(near, candidates["block"] == near["of"]).withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+        cs = cs.select("kind", F.explode(F.sequence(F.lit(0), (F.col("many") - 1).cast("int"))).alias("block"), "top", "n", "ids", "cells", "held", "cell", F.lit(None).cast("binary").alias("floor"))
+        both = qs.unionByName(cs).repartition(max(n, groups), "block", "cell").sortWithinPartitions("block", "cell", "kind", F.desc("top"))
         return both.mapInArrow(run, HITS)
 
     # thresholds from the longest vectors: k rows a query
-    first = grid(asked.withColumn("floor", F.lit(None).cast("binary")), longest, 1)
+    first = grid(asked.withColumn("floor", F.lit(None).cast("binary")), longest, 1, np.full(many, -np.inf))
     scored = first.groupBy("qblock", "pos").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
     floors = scored.groupBy("qblock").agg(F.collect_list(F.struct("pos", "s")).alias("at"))  # a query block's rows
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "n", "at", "ids", "cells", "held"]
         for batch in batches:
-            out = []
-            for size, at in zip(batch.column("n").to_pylist(), batch.column("at").to_pylist()):
+            out, need = [], []
+            for r, (size, at) in enumerate(zip(*(batch.column(names.index(c)).to_pylist() for c in ("n", "at")))):
                 f = np.full(size, -np.inf)
                 for x in at or ():
                     f[x["pos"]] = x["s"]
                 out.append(f.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], names=["block", "floor"])
-
-    begun = asked.select("block", "n").join(floors, asked["block"] == floors["qblock"], "left").select("block", "n", "at").mapInArrow(start, "block int, floor binary")
-    asked = asked.join(staged(begun, "floors"), "block").select(*asked.columns, "floor")
-    hits = grid(asked, candidates, groups)
+                norms = np.sqrt((arrays(batch, r)[1] ** 2).sum(1))
+                # the length that a vector must have to reach the threshold of any query here
+                need.append(float(np.where(f > 0, f / np.maximum(norms, 1e-300), -np.inf).min()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(need, pa.float64())], names=["block", "floor", "need"])
+
+    begun = asked.join(floors, asked["block"] == floors["qblock"], "left").select("block", "n", "at", "ids", "cells", "held")
+    begun = staged(begun.mapInArrow(start, "block int, floor binary, need double"), "floors")
+    # a number per query block
+    begun = staged(begun.withColumn("turn", (F.row_number().over(Window.orderBy("need", "block")) - 1).cast("int")), "turns")
+    needs = np.array([r.need for r in begun.select("need").orderBy("need").collect()])
+    asked = asked.join(begun.select("block", "floor", "turn"), "block").select(*("turn" if c == "block" else c for c in asked.columns), "floor").withColumnRenamed("turn", "block")
+    hits = grid(asked, candidates, groups, needs)
     rank = F.row_number().over(Window.partitionBy("qblock", "pos").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
