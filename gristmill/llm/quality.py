@@ -8,6 +8,7 @@ every text is scored whole.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ LEVELS = 24
 STATS = ("words", "word_length", "distinct", "commonest", "repeats", "upper", "marks", "digits", "line_length", "wordless", "short", "end_marks", "capitals", "metadata")
 SIZE = (1 << BITS) + LEVELS * len(STATS)
 _EDGE = re.compile(r"^\W+|\W+$")
+_MARKS = frozenset(string.punctuation) - frozenset(".,;:?\"')")
 
 # Byte classes: 1 upper-case letter, 2 mark, 3 digit, 4 letter or byte of a longer character, 0 white space.
 _CLASS = np.full(256, 4, np.uint8)
@@ -44,6 +46,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def _ends_in_mark(word: str) -> bool:
+    """Whether a word ends in an ASCII mark that doesn't close a plain clause."""
+    return word[-1] in _MARKS
+
+
 def features(text: str | None, metadata: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers, ascending, and values; a null text is an empty one, null metadata a level of its own."""
     text = text or ""
@@ -59,7 +66,7 @@ def features(text: str | None, metadata: float | None = None) -> tuple[np.ndarra
     stats = (
         np.log2(n + 1) / 16, share(lengths.sum(), n) / 24, share(len(found), n), share(counts.max(initial=0), n), share((ids[1:] == ids[:-1]).sum(), n),
         kinds[1] / marks, min(1.0, 2 * kinds[2] / marks), min(1.0, 2 * kinds[3] / marks), np.log2(len(text) / lines + 1) / 16, share((ids < 0).sum(), n),
-        share((lengths <= 3).sum(), n), share(sum(w[-1] in "!%$*&#|" for w in words), n), share(sum(map(str.isupper, words)), n),
+        share((lengths <= 3).sum(), n), share(sum(map(_ends_in_mark, words)), n), share(sum(map(str.isupper, words)), n),
     )
     level = [min(LEVELS - 2, int(x * (LEVELS - 1))) for x in stats]
     level.append(LEVELS - 1 if metadata is None or metadata != metadata else min(LEVELS - 2, int(np.log2(max(metadata, 0) + 1))))
@@ -115,9 +122,8 @@ class Machine:
                 pull = (error[each] * x / len(pick))[:, None]
                 own, place = np.unique(ids, return_inverse=True)
                 dw = np.bincount(place, pull[:, 0], len(own)).astype(np.float32) + l2 * self.w[own]
-                dv = np.zeros((len(own), self.v.shape[1]), np.float32)
-                np.add.at(dv, place, pull * (sums[each] - vx))
-                dv += l2 * self.v[own]
+                by = np.argsort(place, kind="stable")
+                dv = np.add.reduceat((pull * (sums[each] - vx))[by], np.searchsorted(place[by], np.arange(len(own))), axis=0) + l2 * self.v[own]
                 gw[own] += dw**2
                 gv[own] += dv**2
                 self.w[own] -= rate * dw / np.sqrt(gw[own])
@@ -130,12 +136,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata_col: str | None = "n_chars", max_rows: int = 20_000) -> Machine:
-    """A machine fit on labelled rows of ``labels`` that ``train_on`` holds for, at most ``max_rows`` of them.
-
-    Rows with a null id or label are left out; without rows, or with one class, the machine says the
-    (smoothed) share of that class for all.  Extra columns are not read.
-    """
+def labelled_features(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata_col: str | None = "n_chars", max_rows: int = 20_000) -> DataFrame:
+    """Labels and features of at most ``max_rows`` labelled documents, those of the smallest hashes: id, y, i and x."""
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & train_on).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     meta = F.col(metadata_col).cast("double") if metadata_col in docs.columns else F.lit(None).cast("double")
@@ -147,6 +149,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: st
             parts = [features(t, m) for t, m in zip(b.column("text").to_pylist(), b.column("meta").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array([i.astype("<i4").tobytes() for i, _ in parts], pa.binary()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["id", "y", "i", "x"])
 
+    every = rows.mapInArrow(extract, "id string, y int, i binary, x binary")
+    return every.orderBy(F.xxhash64("id", "i", "x"), "id", "i", "x").limit(max_rows)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, train_on: Column, **options) -> Machine:
+    """A machine fit on labelled documents that ``train_on`` holds for, at most ``max_rows`` rows of them, those of
+    the smallest hashes; rows of one id count each.  ``options`` are those of ``labelled_features``.  Rows with a null id or label are left out; without rows, or with one class, the machine says the
+    (smoothed) share of that class for all.  Extra columns are not read.
+    """
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "i", "x", "y")))]
         rows.sort(key=lambda r: r[:3])
@@ -154,8 +166,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: st
         m = Machine().fit(parts, np.array([y for *_, y in rows], np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.w.tobytes()], pa.binary()), pa.array([m.v.tobytes()], pa.binary())], names=["bias", "w", "v"])
 
-    sample = rows.mapInArrow(extract, "id string, y int, i binary, x binary")
-    model = sample.repartition(1).mapInArrow(train, "bias double, w binary, v binary").collect()  # one row of fixed size
+    sample = labelled_features(docs, labels, train_on, **options)
+    model = sample.coalesce(1).mapInArrow(train, "bias double, w binary, v binary").collect()  # one row of fixed size
     machine = Machine()
     machine.bias = model[0]["bias"] if model else 0.0
     machine.w = np.frombuffer(model[0]["w"], np.float32) if model else machine.w
