@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_row, staged
+from .common import as_row, staged, tasks_for
 from .components import components
 
 #: Hash bins of words' document frequencies: the size of what every executor holds of the corpus.
@@ -199,16 +199,21 @@ def word_frequencies(texts: DataFrame) -> np.ndarray:
     return np.log1p(max(n, 1) / df)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 20, rows: int = 5, width: int = 5) -> DataFrame:
-    """One row per input row: id and class_id, the least id of its class.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: id and class_id, the least id of its class; ``options`` are those of ``classified``.
 
     Texts of equal words are one class; classes also join through links, pairs of weighted Jaccard
     similarity of at least ``threshold`` (bands of 5 samples find 99.9 % of pairs at 0.8).  Null, empty
     and wordless texts are classes of their own, or of their id.  Rows with a null id get a null
     class, and take no part.  Rows of one id may have different texts and classes.  Extra columns are not read.
     """
+    return classified(docs, id_col, text_col, **options).select(F.col("id").alias(id_col), "class_id")
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, bands: int = 20, rows: int = 5, width: int = 5) -> DataFrame:
+    """``near_duplicates`` with t, a hash of the text, and h, a fingerprint of its words (null without words)."""
     spark = docs.sparkSession
-    rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     idf = spark.sparkContext.broadcast(word_frequencies(rows_in.select("text")))  # BINS numbers
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +224,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 words = word_hashes(text)
                 prints.append(_fingerprint(words) if len(words) else None)
                 keys.append(sampler.keys(*shingles(words, idf.value, width)) if len(words) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "t", "h", "keys"])
 
     id_type = rows_in.schema["id"].dataType.simpleString()
-    signed = staged(rows_in.mapInArrow(sign, f"id {id_type}, h binary, keys array<bigint>"), "signatures")
+    signed = staged(rows_in.mapInArrow(sign, f"id {id_type}, t long, h binary, keys array<bigint>"), "signatures")
     known = signed.where("id is not null and h is not null")
     texts = staged(known.groupBy("h").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "texts")
     members = texts.select("h", F.explode("keys").alias("key"))
@@ -301,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if len(held) > 1:
             yield links()
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks_for(vecs), tasks_for(rows_in))
     cells = rest.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "h", "root", "apart", "s", "w", "total")
     more = staged(cells.mapInArrow(within, "a binary, b binary").distinct(), "more")
     if not more.isEmpty():
@@ -311,15 +316,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = texts.select("h", "id").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     least = grouped.groupBy("root").agg(F.min("id").alias("class_id"))
     classes = staged(grouped.join(staged(least, "classes"), "root").select("h", "class_id"), "members")
-    return signed.select("id", "h").join(classes, "h", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
+    return signed.select("id", "t", "h").join(classes, "h", "left").select("id", "t", "h", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of each class's least id, in the input's columns; a row repeated with its id and text stays once,
-    rows with a null id stay."""
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    kept = classes.where(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("__gm_id")).distinct()
+    """One row of each class, of its least id, in the input's columns: where that id has several texts of
+    the class, that of the least text hash.  Rows with a null id stay."""
+    classes = classified(docs, id_col, text_col, **options).where("id is not null")
+    first = classes.groupBy("class_id", F.col("h").isNull().alias("wordless")).agg(F.min(F.struct("id", "t")).alias("first"))
+    kept = first.select(F.col("first")["id"].alias("__gm_id"), F.col("first")["t"].alias("__gm_t"))
     rows = docs.select(as_row(docs), F.col(id_col).alias("__gm_id"), F.xxhash64(text_col).alias("__gm_t"))
     alone = rows.where("__gm_id is null").select("__gm_row.*")
     turn = F.row_number().over(Window.partitionBy("__gm_id", "__gm_t").orderBy("__gm_id"))
-    return rows.join(kept, "__gm_id", "left_semi").withColumn("__gm_turn", turn).where("__gm_turn = 1").select("__gm_row.*").unionByName(alone)
+    return rows.join(kept, ["__gm_id", "__gm_t"], "left_semi").withColumn("__gm_turn", turn).where("__gm_turn = 1").select("__gm_row.*").unionByName(alone)

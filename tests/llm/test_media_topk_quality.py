@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gristmill.llm.media import DamagedImage, cosine_hash, decode_png, encode_media, encode_png, media_features
-from gristmill.llm.quality import SIZE, Machine, features, fit_quality, held_out, score_documents
+from gristmill.llm.quality import SIZE, Machine, features, fit_quality, held_out, labelled_features, score_documents
 from gristmill.llm.topk import top_products
 
 from .helpers import DDL, clashing, empty, odd
@@ -43,10 +43,31 @@ def test_png_damage(at):
 
 def test_hash_of_low_frequencies():
     rows = np.tile(np.arange(192, dtype=np.uint8), (40, 1))
-    noise = np.clip(rows.astype(int) + np.random.default_rng(0).integers(-2, 3, rows.shape), 0, 255).astype(np.uint8)
     far = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
     assert len(cosine_hash(rows)) == 16 and far(cosine_hash(rows), cosine_hash(rows.T.copy())) > 10
-    assert far(cosine_hash(rows + np.uint8(9)), cosine_hash(rows + np.uint8(9))) == 0 and far(cosine_hash(noise), cosine_hash(noise.copy())) == 0
+    blocks = np.random.default_rng(4).integers(0, 200, (8, 8)).repeat(20, 0).repeat(24, 1).astype(np.uint8)
+    rough = (blocks + np.random.default_rng(5).integers(0, 9, blocks.shape)).astype(np.uint8)
+    other = np.random.default_rng(6).integers(0, 200, (8, 8)).repeat(20, 0).repeat(24, 1).astype(np.uint8)
+    assert far(cosine_hash(blocks), cosine_hash(blocks + np.uint8(9))) == 0 and far(cosine_hash(blocks), cosine_hash(rough)) <= 6 < 12 < far(cosine_hash(blocks), cosine_hash(other))
+
+
+def brute_hash(rows):
+    """The transform term by term."""
+    n, m = rows.shape
+    at = lambda k, size: [k * size // 32, (k + 1) * size // 32]
+    mean = lambda y, x: rows[slice(*at(y, n)), slice(*at(x, m))].mean()
+    small = np.array([[mean(y, x) for x in range(32)] for y in range(32)])
+    wave = lambda k, i: np.cos(np.pi * (i + 0.5) * k / 32)
+    found = np.array([sum(small[y, x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)])
+    return found, np.median(found[1:])
+
+
+def test_hash_against_brute_force():
+    rows = np.random.default_rng(7).integers(0, 256, (64, 192)).astype(np.uint8)
+    found, middle = brute_hash(rows)
+    sure = abs(found - middle) > 1e-6
+    got = np.unpackbits(np.frombuffer(bytes.fromhex(cosine_hash(rows)), np.uint8)).astype(bool)
+    assert (got[sure] == (found > middle)[sure]).all() and sure.sum() > 60
 
 
 @pytest.mark.parametrize("make", [odd, clashing])
@@ -132,6 +153,22 @@ def test_quality_of_junk(spark):
     assert sum((r.score >= 0.7) == (r.doc_id % 4 != 0) for r in test) / len(test) > 0.95
 
 
+def test_repeated_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i} of {i % 7}", "", "", 0) for i in range(900)], DDL)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert labelled_features(docs, labels, F.lit(True), max_rows=100).count() == 100
+    assert fit_quality(docs, labels, F.lit(True), max_rows=100).w.any()
+
+
+def test_quality_on_labels_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = score_documents(docs, fit_quality(docs, labels, ~held_out(F.col("doc_id")))).where(held_out(F.col("doc_id"))).join(labels, "doc_id").collect()
+    good, bad = [r.score for r in out if r.quality == 1], [r.score for r in out if r.quality == 0]
+    assert len(out) > 50 and sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.97
+    assert sum(g >= 0.7 for g in good) / len(good) > 0.95
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
     machine = fit_quality(clashing(spark), labels, F.lit(True))

@@ -78,6 +78,13 @@ def test_near_copies_of_odd_rows(spark, make):
     assert near_duplicates(empty(spark)).count() == 0 and one_per_class(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_class(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    df = spark.createDataFrame([(1, a, "", "", 0), (2, a, "", "", 0), (2, b, "", "", 0), (3, b, "", "", 0), (3, "", "", "", 0), (3, None, "", "", 0)], DDL)
+    got = sorted((r.doc_id, r.text) for r in one_per_class(df).collect() if r.text)
+    assert got == [(1, a), (2, b)]
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
