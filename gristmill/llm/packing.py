@@ -30,31 +30,58 @@ NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class Index:
-    """The inverted index of one shard: per term its documents and BM25 weights."""
+    """The inverted index of one shard: per term its documents and BM25 weights.  A term that many documents hold has a
+    row of weights instead, one per document; there are few of these, as all rows have eight times the postings at most."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, k1: float = 1.2, b: float = 0.75, often: int = 8) -> None:
         self.docs, self.n = docs, len(docs)
         sizes = np.array([len(d) for d in docs])
-        self.owner = np.repeat(np.arange(self.n, dtype=np.int64), sizes)
-        pairs, tf = np.unique((self.owner << 32) | np.concatenate(docs).astype(np.int64), return_counts=True)
-        doc, term = pairs >> 32, pairs & 0xFFFFFFFF
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / max(1.0, sizes.mean())))
-        # a seed asks for all its terms that another document of the shard has
+        bits = max(1, int(len(idf) - 1).bit_length())
+        kind = np.uint32 if self.n << bits < 1 << 32 else np.uint64
+        keys = np.concatenate(docs).astype(kind)
+        keys |= np.repeat(np.arange(self.n).astype(kind) << kind(bits), sizes)
+        keys.sort()
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        tf, keys = np.diff(np.append(at, len(keys))), keys[at]
+        doc, term = (keys >> kind(bits)).astype(np.int32), (keys & kind((1 << bits) - 1)).astype(np.uint16 if bits <= 16 else np.int64)
+        weight = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / max(1.0, sizes.mean())))).astype(np.float32)
         held = np.bincount(term, minlength=len(idf))
-        asked = np.flatnonzero((held[term] > 1) & (idf[term] > 0))
-        self.q_start = np.searchsorted(doc[asked], np.arange(self.n + 1))
-        self.q_terms = term[asked]
-        by_term = np.argsort(term, kind="stable")
+        wide = held * often >= max(self.n, 64)
+        self.row = np.cumsum(wide) - 1
+        self.rows = np.zeros((int(wide.sum()), self.n), np.float32)
+        mine = wide[term]
+        self.rows[self.row[term[mine]], doc[mine]] = weight[mine]
+        # a seed asks for all its terms that another document of the shard has
+        known = (held > 1) & (idf > 0)
+        asked = known[term]
+        self.wide, self.narrow = (self._by_doc(doc, term, asked & m) for m in (mine, ~mine))
+        self.sums = None
+        if self.n <= 4096:  # many seeds for each document: their sums over rows of weights at once
+            asks = np.zeros((self.n, len(self.rows)), np.float32)
+            asks[doc[asked & mine], self.row[term[asked & mine]]] = 1
+            self.sums = asks @ self.rows
+        by_term = np.flatnonzero(~mine)
+        by_term = by_term[np.argsort(term[by_term], kind="stable")]
         self.p_start = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
         self.p_doc, self.p_weight = doc[by_term], weight[by_term]
 
+    def _by_doc(self, doc: np.ndarray, term: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(doc[some], np.arange(self.n + 1)), term[some].astype(np.int64)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all documents by all terms of the seed."""
+        start, terms = self.narrow
+        terms = terms[start[seed] : start[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.p_start[terms].tolist(), self.p_start[terms + 1].tolist())]
+        found = np.bincount(np.concatenate([self.p_doc[s] for s in spans]), np.concatenate([self.p_weight[s] for s in spans]), self.n) if spans else np.zeros(self.n)
+        if self.sums is not None:
+            return found + self.sums[seed]
+        start, terms = self.wide
+        return found + self.rows[self.row[terms[start[seed] : start[seed + 1]]]].sum(0)
+
     def neighbours(self, seed: int, used: np.ndarray, some: int = 32) -> Iterator[int]:
         """Unused documents that share a term, by descending score, ties by position; sorted as far as asked."""
-        terms = self.q_terms[self.q_start[seed] : self.q_start[seed + 1]]
-        if not len(terms):
-            return
-        spans = [slice(a, b) for a, b in zip(self.p_start[terms].tolist(), self.p_start[terms + 1].tolist())]
-        scores = np.bincount(np.concatenate([self.p_doc[s] for s in spans]), np.concatenate([self.p_weight[s] for s in spans]), self.n)
+        scores = self.scores(seed)
         scores[used] = 0
         left = np.flatnonzero(scores)
         while len(left):

@@ -7,7 +7,7 @@ import json
 import os
 import string
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 #: Pieces kept per worker; older ones go in halves, which bounds the worker's memory.
 CACHE = 1_000_000
 MARKS = string.punctuation
+_MARKS = frozenset(MARKS)
 #: Words that one call of the merge model takes.
 AT_ONCE = 200
 
@@ -30,8 +31,8 @@ class Encoder:
     """Texts to token ids, as little-endian ``dtype`` bytes, equal to encoding each whole text.
 
     A byte-level tokenizer never joins characters across a space that stands before a non-space, nor
-    across one or two newlines between non-spaces (two are two tokens).  So a text without other white space is cut there, each
-    distinct piece is encoded once by the library, and the ids are joined; any other text is encoded
+    across one or two newlines between non-spaces (two are two tokens).  So a text without other white space is
+    cut there, each distinct piece is encoded once by the library, and the ids are joined; any other text is encoded
     whole.  Words of letters go straight to the library's merge model, many in one call, if no merge rule joins a
     word to what opens the next; this spares the library's offset tracking.  Strings of special tokens are
     ordinary text.
@@ -45,8 +46,8 @@ class Encoder:
         self.lib.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
         self.limit = limit
-        self.cache: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         own = json.loads(self.lib.to_str())
         pre, model = own["pre_tokenizer"] or {}, own["model"]
         #: Only for this kind of tokenizer do the cuts above hold.
@@ -97,44 +98,42 @@ class Encoder:
             self.marks[end] = self._ids([end])[0]
         return self.marks.get(end)
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        cache, marks, mark = self.cache, self.marks, self._mark
-        words, ended, rest = [], [], []
-        for p in pieces:
-            stem = p.rstrip(MARKS)
-            core = stem[1:] if stem[:1] == "\n" else stem
-            if core.isalpha() and (core.isascii() or max(core) < "\u0600"):
-                if len(stem) == len(p):
-                    words.append(p)
-                    continue
-                end = p[len(stem) :]
-                if end in marks or mark(end) is not None:
-                    ended.append((p, stem, end))
-                    continue
+    def _known(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of distinct pieces; null for a piece that can't be cut off.  Words and rare pieces are kept, words with marks
+        at their end are put together from the two."""
+        if len(self.cache) > self.limit // 2:
+            self.cache, self.older = {}, self.cache
+        cache, older, marks, mark = self.cache, self.older, self.marks, self._mark
+        ids = list(map(cache.get, pieces))
+        ended, lacking = [], []
+        for at, x in enumerate(ids):
+            if x is None:
+                p = pieces[at]
+                if p[-1:] in _MARKS:
+                    stem = p.rstrip(MARKS)
+                    end = p[len(stem) :]
+                    core = stem[1:] if stem[:1] == "\n" else stem
+                    if core.isalpha() and (core.isascii() or max(core) < "\u0600") and (end in marks or mark(end) is not None):
+                        ended.append((at, stem, end))
+                        if stem not in cache:
+                            lacking.append(stem)
+                        continue
+                lacking.append(p)
+        words, rest = [], []
+        for p in dict.fromkeys(lacking):
+            x = older.get(p)
+            if x is not None:
+                cache[p] = x
+                continue
             core = p[1:] if p[:1] == "\n" else p
-            if core and core.split() == [core]:
+            if core.isalpha() and (core.isascii() or max(core) < "\u0600"):
+                words.append(p)
+            elif core and core.split() == [core]:
                 rest.append(p)
-            else:
-                cache[p] = None
-        words.extend({s for _, s, _ in ended if s not in cache}.difference(words))
         cache.update(zip(words, self._words([w if w[0] == "\n" else " " + w for w in words])))
-        for p, stem, end in ended:
-            cache[p] = cache[stem] + marks[end]
         cache.update(zip(rest, self._ids([p if p[0] == "\n" else " " + p for p in rest])))
-
-    def _known(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of distinct pieces; null for a piece that can't be cut off."""
-        cache, older = self.cache, self.older
-        if len(cache) + len(pieces) > self.limit // 2:
-            older = self.older = cache
-            cache = self.cache = {}
-        new = [p for p in pieces if p not in cache]
-        if older:
-            held = [p for p in new if p in older]
-            cache.update(zip(held, [older[p] for p in held]))
-            new = [p for p in new if p not in older]
-        self._learn(new)
-        return [cache[p] for p in pieces]
+        whole = {at: cache[stem] + marks[end] for at, stem, end in ended}
+        return [x if x is not None else whole[at] if at in whole else cache.get(pieces[at]) for at, x in enumerate(ids)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; null is empty."""
@@ -146,7 +145,7 @@ class Encoder:
         parts, at, done = [], 0, 0
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         while at < len(texts):  # pieces of a slice are counted in 32 bits
-            stop = max(at + 1, int(np.searchsorted(sizes, done + (64 << 20), side="right")))
+            stop = max(at + 1, int(np.searchsorted(sizes, done + (32 << 20), side="right")))
             parts.append(self._column(texts.slice(at, stop - at), end))
             at, done = stop, int(sizes[stop - 1])
         return pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
