@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
+from ..sources.tables import running_sums
 
 
 def _curve(df: DataFrame, y: str, p: str) -> DataFrame:
     """Per distinct score, descending: true and false positives when it is the threshold, and the totals.
 
-    One row a score leaves the aggregation, so the running sums hold distinct scores only.
+    One row a score leaves the aggregation; running sums go by ranges of scores in parallel.
     """
     points = df.groupBy(F.col(p).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("t"), F.sum(1 - F.col(y).cast("long")).alias("f"))
-    down = Window.orderBy(F.desc("threshold"))
-    points = points.withColumns({"tp": F.sum("t").over(down), "fp": F.sum("f").over(down)})
-    whole = Window.partitionBy(F.lit(0))
-    return points.withColumns({"pos": F.sum("t").over(whole), "neg": F.sum("f").over(whole)})
+    whole = df.agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))  # one row
+    down = running_sums(points, -F.col("threshold").cast("double"), {"tp": F.col("t"), "fp": F.col("f")})
+    return down.crossJoin(F.broadcast(whole))
 
 
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, jaccard
+from ..functions.text import cosine, jaccard, py_strip
 from .ranking import adjacent
 from .rollup import reuse
 
@@ -202,8 +202,9 @@ def document_metrics(tokens: DataFrame, kind: str = "prompt") -> DataFrame:
 
 def lemma_overlaps(tokens: DataFrame) -> DataFrame:
     """Mean and least Jaccard similarity of lemma sets of neighbouring sentences, 0 for two empty ones."""
-    real = F.col("is_alpha") & ~F.col("is_stop") & ~F.col("is_space") & ~F.col("is_punct")
-    sets = tokens.groupBy("doc_id", "sent_id").agg(F.collect_set(F.when(real, F.lower("lemma"))).alias("lemmas"))
+    real = ~F.col("is_stop") & ~F.col("is_space") & ~F.col("is_punct")
+    lemma = F.nullif(F.lower(py_strip(F.col("lemma"))), F.lit(""))
+    sets = tokens.groupBy("doc_id", "sent_id").agg(F.collect_set(F.when(real, lemma)).alias("lemmas"))
     out = adjacent(sets, ["doc_id"], "sent_id", jaccard, "lemmas")
     return out.select("doc_id", F.col("mean").alias("prompt_adjacent_lemma_overlap_mean"), F.col("min").alias("prompt_adjacent_lemma_overlap_min"))
 
@@ -227,8 +228,9 @@ def plain_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sents = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"), F.lit(0))).alias("sent_id", "s"))
     words = sents.select("doc_id", "sent_id", F.posexplode(F.regexp_extract_all("s", F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))).alias("k", "text"))
     word = F.col("text").rlike(r"(?U)^\w")
-    i = F.col("sent_id").cast("long") * 100_000 + F.col("k")
+    first = F.col("sent_id").cast("long") * F.lit(1 << 32)  # a text has fewer tokens
+    i = first + F.col("k")
     return words.select(
-        "doc_id", "sent_id", i.alias("i"), (F.col("sent_id").cast("long") * 100_000).alias("head_i"), F.when(F.col("k") == 0, "ROOT").otherwise("dep").alias("dep"),
+        "doc_id", "sent_id", i.alias("i"), first.alias("head_i"), F.when(F.col("k") == 0, "ROOT").otherwise("dep").alias("dep"),
         F.when(word, "X").otherwise("PUNCT").alias("pos"), F.lower("text").alias("lemma"), "text", F.lit(False).alias("is_space"), (~word).alias("is_punct"), F.lit(False).alias("is_stop"), word.alias("is_alpha"),
     )

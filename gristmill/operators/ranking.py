@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import with_rank
+
 
 def top_by_size(df: DataFrame, score: str, n: int | None, tie: str) -> DataFrame:
     """Rows of the greatest absolute score, all for ``n`` None; nulls last."""
@@ -55,7 +57,7 @@ def bands(df: DataFrame, score: str, pos: str, tail: float = 0.10, mid: float =
     """difficulty_band: the lowest round(tail * n) rows are "hard", as many of the highest "easy" (of ties the
     later), else "mid_band" within ``mid`` of the mean, else "other".  A tail of no rows bands none."""
     n = df.agg(F.count(F.lit(1)).alias("__n"), F.avg(score).alias("__mean"))  # one row
-    rows = df.withColumn("__r", F.row_number().over(Window.orderBy(score, pos))).crossJoin(F.broadcast(n))
+    rows = with_rank(df, [], [score, pos], "__r").crossJoin(F.broadcast(n))
     size = F.bround(F.lit(tail) * F.col("__n"), 0).cast("long")
     band = (
         F.when((size > 0) & (F.col("__r") > F.col("__n") - size), "easy").when((size > 0) & (F.col("__r") <= size), "hard")

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import ArrayType, BooleanType, DecimalType, MapType, NumericType, StringType, StructType
 
 from ..functions.text import unless_blank
+from ..sources.tables import with_rank
 
 Order = Sequence[str | Column]
 
@@ -153,7 +154,7 @@ def shard(df: DataFrame, order: Order, index: int, shards: int, max_rows: int |
         raise ValueError(f"shard {index} of {shards}")
     size = -(-df.count() // shards)
     n = "__n"
-    out = df.withColumn(n, F.row_number().over(Window.orderBy(*order)) - 1).where((F.col(n) >= index * size) & (F.col(n) < (index + 1) * size))
+    out = with_rank(df, [], order, n).withColumn(n, F.col(n) - 1).where((F.col(n) >= index * size) & (F.col(n) < (index + 1) * size))
     if max_rows is not None:
         out = out.where(F.col(n) < index * size + max_rows)
     return out.drop(n)
@@ -162,3 +163,33 @@ def shard(df: DataFrame, order: Order, index: int, shards: int, max_rows: int |
 def ordered_distinct(df: DataFrame, column: str, order: Column) -> DataFrame:
     """Distinct values by first appearance."""
     return df.groupBy(column).agg(F.min(order).alias("first_at"))
+
+
+def without_zero_importance(df: DataFrame, importance: DataFrame, feature: str, value: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The table without the columns whose mean absolute importance is 0; columns in ``keep``, and those that ``importance``
+    doesn't name, stay.  One row a column is collected."""
+    gone = {r[0] for r in importance.groupBy(feature).agg(F.max(F.abs(F.col(value))).alias("m")).where("m = 0").select(feature).collect()}
+    return df.select(*(c for c in df.columns if c in keep or c not in gone))
+
+
+def preselected(effects: DataFrame, columns: Sequence[str], feature: str, size: str, n: int) -> DataFrame:
+    """The ``n`` features of the greatest absolute effect, ties by name, that are among ``columns``, with their place."""
+    top = effects.orderBy(F.desc_nulls_last(F.abs(F.col(size))), feature).limit(n)
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last(F.abs(F.col(size))), feature))  # n rows
+    return top.withColumn("place", place).where(F.col(feature).isin(*columns) if columns else F.lit(False))
+
+
+def capped_pairs(df: DataFrame, a: str, b: str, most: int | None = None) -> DataFrame:
+    """Distinct pairs in order, the first ``most`` of them."""
+    pairs = df.select(a, b).distinct().orderBy(a, b)
+    return pairs if most is None else pairs.limit(most)
+
+
+def row_json(df: DataFrame, out: str = "row_json") -> DataFrame:
+    """Each row as one JSON object, nulls kept; types that JSON lacks become text."""
+
+    def plain(name: str, kind) -> Column:
+        own = isinstance(kind, (NumericType, StringType, BooleanType, StructType, ArrayType, MapType)) and not isinstance(kind, DecimalType)
+        return (F.col(f"`{name}`") if own else F.col(f"`{name}`").cast("string")).alias(name)
+
+    return df.select(F.to_json(F.struct(*(plain(f.name, f.dataType) for f in df.schema)), {"ignoreNullFields": "false"}).alias(out))

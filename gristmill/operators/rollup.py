@@ -61,10 +61,10 @@ def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def entropy(df: DataFrame, keys: Sequence[str], weight: str, base: float = 2.0) -> DataFrame:
     """Shannon entropy of positive weights per group; 0 for one item or no weight."""
-    total = F.sum(weight).over(Window.partitionBy(*keys))
-    p = F.col(weight) / total
-    term = F.when((F.col(weight) > 0) & (total > 0), -p * F.log(p) / F.log(F.lit(base))).otherwise(0.0)
-    return df.withColumn("__h", term).groupBy(*keys).agg(F.when(F.count(F.lit(1)) > 1, F.sum("__h")).otherwise(0.0).alias("entropy"))
+    w = F.when(F.col(weight) > 0, F.col(weight).cast("double"))
+    total, weighed = F.sum(w), F.sum(w * F.log(w))
+    whole = F.greatest(F.lit(0.0), (F.log(total) - weighed / total) / F.log(F.lit(float(base))))
+    return df.groupBy(*keys).agg(F.when(F.count(F.lit(1)) > 1, F.coalesce(whole, F.lit(0.0))).otherwise(0.0).alias("entropy"))
 
 
 def gini(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:

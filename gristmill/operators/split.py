@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import with_rank
+
 
 def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
@@ -14,9 +16,9 @@ def hash_order(key: str, seed: int) -> Column:
 
 def train_test(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """split: in each class, the ceil(test_share * n) rows of the smallest hashes are "test"."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    r = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key, seed), key))
-    return df.withColumn("split", F.when(r <= F.ceil(n * test_share), "test").otherwise("train"))
+    ranked = with_rank(df, [label], [hash_order(key, seed), key], "__rank", "__size")
+    share = F.ceil(F.col("__size") * test_share)
+    return ranked.withColumn("split", F.when(F.col("__rank") <= share, "test").otherwise("train")).drop("__rank", "__size")
 
 
 def group_split(df: DataFrame, group: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -27,8 +29,8 @@ def group_split(df: DataFrame, group: str, test_share: float = 0.2, seed: int =
 
 def folds(df: DataFrame, key: str, k: int, seed: int = 42, within: Sequence[str] = ()) -> DataFrame:
     """fold 0 to k-1 in turn by hash order; ``within`` makes it stratified."""
-    w = Window.partitionBy(*within).orderBy(hash_order(key, seed), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    ranked = with_rank(df, within, [hash_order(key, seed), key], "__rank")
+    return ranked.withColumn("fold", F.pmod(F.col("__rank") - 1, F.lit(k)).cast("int")).drop("__rank")
 
 
 def group_folds(df: DataFrame, group: str, k: int, seed: int = 42) -> DataFrame:

@@ -28,6 +28,7 @@ def tree_features(df: DataFrame, tree: str = "tree", truncated: str = "truncated
     Directory counts, the deepest path and top-level names come from all entries, so a file at the top
     counts as a name too.  Means over changed files are null without any.
     """
+    given = set(df.columns)
     entries = F.coalesce(F.col(tree), _none("struct<path:string,type:string,size:bigint>"))
     df = df.withColumns({"__e": entries, "__c": F.coalesce(F.col(changed), _none("string"))})
     of = lambda kind: F.filter("__e", lambda e: e["type"] == kind)
@@ -53,7 +54,7 @@ def tree_features(df: DataFrame, tree: str = "tree", truncated: str = "truncated
         "repo_mean_siblings_per_changed_file": F.when(have & (F.size(paths) > 0), _mean(siblings)),
         "repo_changed_files_exist_in_tree_ratio": F.when(have, F.size(F.filter("__c", lambda c: F.array_contains(paths, c))).cast("double") / F.size("__c")),
     }
-    return df.withColumns(out).drop(*(c for c in df.columns if c.startswith("__")))
+    return df.withColumns(out).drop(*(c for c in df.columns if c not in given))
 
 
 def linking_features(df: DataFrame, text: str, changed: str = "changed_files", blobs: str = "blob_paths") -> DataFrame:

@@ -223,7 +223,7 @@ def f23_token_count(t):
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def f38_json_rows(t):
+def f15_json_field(t):
     return t.events.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
@@ -232,5 +232,5 @@ def f14_f15_repos(t):
     from ..functions.repos import repos_in_json
 
     inner = json.dumps({"text": "see https://github.com/c/d/issues/1 and git@github.com:e/f.git", "n": 1})
-    rows = [("a", json.dumps({"repo": "a/b", "ds": inner})), ("b", json.dumps([{"instance_id": "o__r.0123abc", "file": "x/y.py", "k": {"id": "me/sweb.eval.x86_64.q"}}])), ("c", "{"), ("d", None)]
+    rows = [("a", json.dumps({"repo": "a/b", "ds": inner})), ("b", json.dumps([{"instance_id": "o__r.0123abc", "file": "x/y.py", "k": {"id": "me/sweb.eval.x86_64.q", "url": "https://github.com/me/sweb.eval.x86_64.q"}}])), ("c", "{"), ("d", None)]
     return t.spark.createDataFrame(rows, "id string, doc string").select("id", repos_in_json("doc").alias("repos"))

@@ -48,11 +48,12 @@ def g5_group_rollup(t):
 
 
 @query("""
-SELECT count(*) AS n_tasks, round(avg(o_totalprice), 4) AS mean_price, count(DISTINCT o_custkey) AS n_repositories,
-  CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_f FROM orders""")
+SELECT count(*) AS n_tasks, round(avg(o_totalprice), 4) AS pass_rate_mean, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END), 4) AS any_success_mean,
+  round(avg(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END), 4) AS maj_success_mean, count(DISTINCT o_custkey) AS n_repositories FROM orders""")
 def g6_dataset_summary(t):
-    out = t.orders.agg(F.count(F.lit(1)).alias("n_tasks"), F.avg("o_totalprice").alias("mean_price"), F.count_distinct("o_custkey").alias("n_repositories"), F.sum((F.col("o_orderstatus") == "F").cast("int")).alias("n_f"))
-    return rounded(out, "mean_price", digits=4)
+    status = lambda s: (F.col("o_orderstatus") == s).cast("int")
+    tasks = t.orders.select(F.col("o_totalprice").alias("pass_rate"), status("F").alias("any_success"), status("O").alias("maj_success"), "o_custkey", "o_orderpriority")
+    return rounded(rollup.dataset_summary(tasks, "o_custkey", "o_orderpriority")[0], "pass_rate_mean", "any_success_mean", "maj_success_mean", digits=4)
 
 
 @query("SELECT o_orderpriority AS source, count(*) AS n_tasks FROM orders GROUP BY 1")
@@ -380,3 +381,31 @@ def s4_csv_round_trip(t):
     path = scratch(t.spark, "labels.csv")
     tables.write_csv(t.labels, path, ["doc_id", "toxic"])
     return tables.load(t.spark, path, schema="doc_id long, toxic int")
+
+
+@query("SELECT CAST(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey}) AS VARCHAR) AS row_json FROM nation")
+def f38_rows_as_json(t):
+    return relational.row_json(t.nation.select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("""
+WITH m AS (SELECT avg(abs(l_discount)) AS d, avg(abs(l_tax * 0)) AS z FROM lineitem)
+SELECT l_orderkey, l_partkey, l_discount FROM lineitem WHERE (SELECT z FROM m) = 0 AND (SELECT d FROM m) > 0""")
+def a7_zero_importance(t):
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_discount", (F.col("l_tax") * 0).alias("l_tax"))
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("phi")) for c in ("l_discount", "l_tax")))).alias("p")).select("p.*")
+    return relational.without_zero_importance(rows, long.groupBy("feature").agg(F.avg(F.abs("phi")).alias("phi")), "feature", "phi", keep=["l_orderkey", "l_partkey"])
+
+
+@query("""
+WITH e AS (SELECT l_shipmode AS feature, avg(l_quantity) - 25 AS size FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, l_quantity FROM lineitem) GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY abs(size) DESC, feature) AS place FROM e)
+SELECT feature, round(size, 6) AS size, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3 AND feature IN ('AF', 'NO', 'RF', 'NF')""")
+def a8_effect_preselection(t):
+    effects = t.lineitem.groupBy(F.concat("l_returnflag", "l_linestatus").alias("feature")).agg((F.avg("l_quantity") - 25).alias("size"))
+    return rounded(relational.preselected(effects, ["AF", "NO", "RF", "NF"], "feature", "size", 3), "size")
+
+
+@query("SELECT l_suppkey, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ORDER BY 1, 2 LIMIT 500")
+def t10_capped_pairs(t):
+    return relational.capped_pairs(t.lineitem, "l_suppkey", "l_partkey", 500)

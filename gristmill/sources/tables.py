@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -18,16 +18,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-#: Folders made for applications whose session names none.
-_own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder that the session names; one is made only where it names none."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
+    """A new path below the folder that all executors share, ``spark.checkpoint.dir``, or without it, in an application of one
+    machine, below its warehouse; on a cluster that setting must not be missing."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _own[app] = "file://" + tempfile.mkdtemp(prefix="gristmill-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
 
 
@@ -64,6 +64,33 @@ def splits_below(spark: SparkSession, root: str, marker: str = "dataset_info.jso
     return files.select(*(F.element_at(parts, -k).alias(n) for k, n in ((4, "dataset"), (3, "config"), (2, "split"))))
 
 
+def running_sums(df: DataFrame, order: Column, sums: dict[str, Column]) -> DataFrame:
+    """Adds sums over all rows up to each by ``order``, whose values are distinct: ranges in parallel, then each range's
+    offset."""
+    parts = df.select(order.alias("__o"), F.struct(*df.columns).alias("__row"), *(c.cast("long").alias("__v_" + n) for n, c in sums.items()))
+    parts = parts.orderBy("__o").withColumn("__p", F.spark_partition_id())
+    upto = Window.partitionBy("__p").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    totals = parts.groupBy("__p").agg(*(F.sum("__v_" + n).alias("__t_" + n) for n in sums))
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    totals = totals.select("__p", *(F.coalesce(F.sum("__t_" + n).over(ahead), F.lit(0)).alias("__b_" + n) for n in sums))
+    parts = parts.withColumns({"__s_" + n: F.sum("__v_" + n).over(upto) for n in sums})
+    return parts.join(F.broadcast(totals), "__p").select("__row.*", *((F.col("__s_" + n) + F.col("__b_" + n)).alias(n) for n in sums))
+
+
+def with_rank(df: DataFrame, within: Sequence[str], order: Sequence[str | Column], out: str, count: str | None = None) -> DataFrame:
+    """Adds the place of each row, from 1, among those of its group, and the group's size; groups of any size are
+    numbered in parallel.  Nulls in ``within`` are a group."""
+    rows = with_row_index(df, [*within, *order])
+    if not within:
+        rows = rows.withColumn(out, F.col("row_index") + 1)
+        return (rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(count)))) if count else rows).drop("row_index")  # one row
+    base = rows.groupBy(*within).agg(F.min("row_index").alias("__base"), F.count(F.lit(1)).alias(count or "__count"))
+    base = base.select(*(F.col(c).alias("__k_" + c) for c in within), "__base", count or "__count")
+    on = [rows[c].eqNullSafe(base["__k_" + c]) for c in within]
+    found = rows.join(base, on).withColumn(out, F.col("row_index") - F.col("__base") + 1)
+    return found.drop("row_index", "__base", "__count", *("__k_" + c for c in within))
+
+
 def with_row_index(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Adds row_index, 0, 1, 2, ... by ``order``: ranges in parallel, then each range's offset."""
     parts = df.select(F.struct(*order).alias("__o"), F.struct(*df.columns).alias("__row")).orderBy("__o").withColumn("__p", F.spark_partition_id())
@@ -125,14 +152,20 @@ def write_manifest(spark: SparkSession, path: str, **entries) -> None:
     spark.createDataFrame([(json.dumps(entries, default=str, sort_keys=True),)], "value string").coalesce(1).write.text(path)
 
 
-def cached(spark: SparkSession, path: str, ids: DataFrame, key: str, columns: Sequence[str], make) -> DataFrame:
-    """A table kept at ``path``: reused if it has the columns and just the ids, else made anew beside it and returned;
-    rows go by id, not by position."""
+def cached(spark: SparkSession, path: str, ids: DataFrame, key: str, columns: Sequence[str], make, frozen: Sequence[str] = ()) -> DataFrame:
+    """A table kept at ``path``: reused if it has the columns and just the ids, else made anew and returned; rows go by
+    id, not by position.  A new one is written beside the old, which ``make`` may read, and takes its place when whole."""
+    guard(path, frozen)
     if exists(spark, path):
         df = spark.read.parquet(path)
         same = ids.select(key).exceptAll(df.select(key).distinct()).isEmpty() and df.select(key).distinct().exceptAll(ids.select(key)).isEmpty()
         if set(columns) <= set(df.columns) and same:
             return df.join(ids.select(key), key)
-    df = make()
-    df.write.mode("overwrite").parquet(path)
+    aside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    make().write.parquet(aside)
+    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, path))
+    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"{aside} could not take the place of {path}")
     return spark.read.parquet(path)
