@@ -116,3 +116,24 @@ def test_pipeline_stages(spark, sf):
     words = lambda df: df.select(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)))).first()[0]
     assert abs(words(seen["mixing"]) - words(seen["near_duplicates"])) < 0.05 * words(seen["near_duplicates"])
     assert {r.doc_id for r in seen["packing"].collect()} == {r.doc_id for r in seen["mixing"].collect()}
+
+
+def test_run_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+    from gristmill.llm.common import staged_now
+
+    prose = [(100 + i, " ".join(f"word{i}x{k}" for k in range(120)), "en", "a" if i % 3 else None, 900) for i in range(40)]
+    docs = odd(spark).unionByName(spark.createDataFrame([*prose, prose[0], (300, prose[1][1], "en", "b", 900)], DDL))
+    docs = docs.withColumns({"h": F.lit("own"), "size": F.lit(1), "score": F.lit("x")})
+    labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(40)] + [(4, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, (d, marks) in {"full": (docs, labels), "bare": (docs, labels.limit(0)), "none": (docs.limit(0), labels)}.items():
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        before = staged_now(spark)
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        left = staged_now(spark) - before
+        assert sum(x.startswith("mixing") for x in left) == 1 and not any(x.startswith(("quality", "line_dedup", "near_dup", "signatures")) for x in left)
+        if name == "full":
+            kept = {r.doc_id for r in pieces}
+            assert len(kept & set(range(100, 140))) > 30 and 300 not in kept
+        assert name != "none" or not pieces
