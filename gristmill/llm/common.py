@@ -8,6 +8,7 @@ result may still read them.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,17 @@ from pyspark.sql import functions as F
 P = "__gm_"
 
 
+#: What empties the caches that operators keep in a Python worker.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_caches_of(name: str) -> None:
+    """Workers live on from stage to stage: called at a task's start, this empties the caches of other operators."""
+    for other, empty in CACHES.items():
+        if other != name:
+            empty()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as a full URI: ``spark.checkpoint.dir``.  Without that setting only an application
     with one machine can stage tables, in its warehouse; on a cluster it is an error."""

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_row, staged, tasks_for
+from .common import CACHES, as_row, keep_caches_of, staged, tasks_for
 from .components import components
 
 #: Hash bins of words' document frequencies: the size of what every executor holds of the corpus.
@@ -48,6 +48,7 @@ class _Words(dict):
 
 
 _words = _Words()
+CACHES["minhash"] = _words.clear
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -182,6 +183,7 @@ def word_frequencies(texts: DataFrame) -> np.ndarray:
     """Inverse document frequency per hash bin over all rows of the one-column frame; BINS numbers on the driver."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_caches_of("minhash")
         found, rows = np.zeros(BINS, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -217,6 +219,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0
     idf = spark.sparkContext.broadcast(word_frequencies(rows_in.select("text")))  # BINS numbers
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_caches_of("minhash")
         sampler = Sampler(bands, rows)
         for batch in batches:
             prints, keys = [], []
@@ -243,6 +246,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0
     wanted = members.select("h").distinct().join(texts.select("h", "id"), "h")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_caches_of("minhash")
         for batch in batches:
             out = []
             for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):

@@ -162,6 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                 seen[terms] = False
             none, docs = pa.nulls(1, batch.column(0).type), docs + len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids.cast(pa.binary()), pa.array(np.diff(bounds)), pa.nulls(len(ids), pa.binary())], names=["id", "ids", "n", "held"])
+        enc.trim()
         if none is not None:  # the task's document frequencies
             yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.binary()), pa.array([docs], pa.int64()), pa.array([held.astype("<i8").tobytes()], pa.binary())], names=["id", "ids", "n", "held"])
 

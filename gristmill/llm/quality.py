@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import CACHES, keep_caches_of
+
 BITS, RANK = 18, 8
 #: Structure statistics have this many levels each; their features follow those of hashed words.
 LEVELS = 24
@@ -44,6 +46,7 @@ class _Words(dict):
 
 
 _words = _Words()
+CACHES["quality"] = _words.clear
 
 
 def _ends_in_mark(word: str) -> bool:
@@ -145,6 +148,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, train_on: Column, id_c
     rows = rows.join(F.broadcast(picked), "id")  # max_rows rows of a number and a label
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_caches_of("quality")
         for b in batches:
             parts = [features(t, m) for t, m in zip(b.column("text").to_pylist(), b.column("meta").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array([i.astype("<i4").tobytes() for i, _ in parts], pa.binary()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["id", "y", "i", "x"])
@@ -183,6 +187,7 @@ def score_documents(docs: DataFrame, machine: Machine, text_col: str = "text", m
     schema = StructType([*rows.schema.fields, StructField(score_col, DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_caches_of("quality")
         m = Machine(1, 1)
         m.bias, m.w, m.v = model.value
         for b in batches:

@@ -170,6 +170,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                     writer, seq = None, seq + 1
         if writer is not None:
             close()
+        enc.trim()
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5))], names=[c.split(" ")[0] for c in MANIFEST.split(", ")])
 
     return staged(rows.mapInArrow(write, MANIFEST), "manifest")

@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept per worker; older ones go in halves, which bounds the worker's memory.
-CACHE = 1_000_000
+from .common import CACHES, keep_caches_of
+
+#: Words kept per worker between texts; older ones go in halves, which bounds the worker's memory.
+CACHE = 500_000
 MARKS = string.punctuation
 _MARKS = frozenset(MARKS)
 #: Words that one call of the merge model takes.
@@ -135,6 +137,10 @@ class Encoder:
         whole = {at: cache[stem] + marks[end] for at, stem, end in ended}
         return [x if x is not None else whole[at] if at in whole else cache.get(pieces[at]) for at, x in enumerate(ids)]
 
+    def trim(self) -> None:
+        """Give back the older words at a task's end."""
+        self.older = {}
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; null is empty."""
         yield from self.column(pa.array(texts, pa.string())).to_pylist()
@@ -145,7 +151,7 @@ class Encoder:
         parts, at, done = [], 0, 0
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         while at < len(texts):  # pieces of a slice are counted in 32 bits
-            stop = max(at + 1, int(np.searchsorted(sizes, done + (32 << 20), side="right")))
+            stop = max(at + 1, int(np.searchsorted(sizes, done + (16 << 20), side="right")))
             parts.append(self._column(texts.slice(at, stop - at), end))
             at, done = stop, int(sizes[stop - 1])
         return pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
@@ -206,10 +212,12 @@ class Encoder:
 
 
 _encoders: dict[str | None, Encoder] = {}
+CACHES["tokens"] = _encoders.clear
 
 
 def encoder(path: str | None = None) -> Encoder:
     """The worker's encoder for ``path``."""
+    keep_caches_of("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
