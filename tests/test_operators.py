@@ -265,7 +265,7 @@ def test_synthetic_repositories_in_addresses_are_none(spark):
     from gristmill.functions.repos import names_in
     from pyspark.sql import functions as F
 
-    rows = [("https://github.com/me/sweb.eval.x86_64.q", "url"), ("https://github.com/me/real", "url"), ("me/swesmith.x86_64.q", "repo"), ("swebench/sweb.eval.x86_64.o_1776_r.0123abcd", "image"), ("o__r.0123abc", "id"), ("o__r.0123abc", "repo"), (None, "text")]
+    rows = [("https://github.com/me/sweb.eval.x86_64.q", "url"), ("https://github.com/me/real", "url"), ("me/swesmith.x86_64.q", "repo"), ("img/sweb.eval.x86_64.o_1776_r.0123abcd", "image"), ("o__r.0123abc", "id"), ("o__r.0123abc", "repo"), (None, "text")]
     got = [r[0] for r in spark.createDataFrame(rows, "v string, k string").select(names_in(F.col("v"), F.col("k"))).collect()]
     assert got[:6] == [[], ["me/real"], [], ["o/r"], ["o/r"], []] and not got[6]
 
