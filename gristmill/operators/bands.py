@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio, ratio_or_null
+from .quantiles import quantiles
 from .ranking import bands, top_per_row
 from .rollup import grid_summary
 
@@ -49,8 +50,12 @@ def stratified(df: DataFrame, level: float) -> DataFrame:
     hit = (F.col("n_prompt_in_top5") > 0).cast("int")
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("score").alias("score_mean"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.sum(hit).alias("hits")]
     for q in QUANTITIES:
-        aggs += [F.avg(q).alias(f"{q}_mean"), F.median(q).alias(f"{q}_median")]
-    out = grid_summary(both, grid, ["subset", "difficulty_band"], aggs, ["n", "hits"])
+        aggs.append(F.avg(q).alias(f"{q}_mean"))
+    keys = ["subset", "difficulty_band"]
+    out = grid_summary(both, grid, keys, aggs, ["n", "hits"])
+    medians = quantiles(both, {q: F.col(q) for q in QUANTITIES}, [0.5], keys)
+    medians = medians.groupBy(*keys).agg(*(F.max(F.when(F.col("column") == q, F.col("q")[0])).alias(f"{q}_median") for q in QUANTITIES))
+    out = out.join(medians, keys, "left")
     return out.withColumn("hit_rate", ratio(F.col("hits"), F.col("n"))).withColumn("over_chance", F.col("hit_rate") - F.lit(level))
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import with_rank
+from ..sources.tables import running_sums, with_rank
+from .quantiles import quantiles
 
 
 def top_by_size(df: DataFrame, score: str, n: int | None, tie: str) -> DataFrame:
@@ -31,17 +32,21 @@ def extremes(df: DataFrame, score: str, pos: str, n: int) -> DataFrame:
 
 def nearest(df: DataFrame, score: str, pos: str, n: int, centre: str | float = "mean") -> DataFrame:
     """The n rows nearest to the mean, the median or a number, ties to earlier rows."""
-    agg = {"mean": F.avg(score), "median": F.median(score)}.get(centre, F.max(F.lit(centre)))
-    at = df.agg(agg.cast("double").alias("__c"))  # one row
+    if centre == "median":
+        at = quantiles(df, {"c": F.col(score)}, [0.5]).select(F.col("q")[0].alias("__c"))  # one row
+    else:
+        at = df.agg((F.avg(score) if centre == "mean" else F.max(F.lit(centre))).cast("double").alias("__c"))  # one row
     dist = F.abs(F.col(score) - F.col("__c"))
     return df.crossJoin(F.broadcast(at)).withColumn("distance", dist).orderBy("distance", pos).limit(n).drop("__c")
 
 
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Descending rank, ties share their mean rank, nulls get none."""
-    rank = F.rank().over(Window.orderBy(F.desc_nulls_last(column)))
-    same = F.count(F.lit(1)).over(Window.partitionBy(column))
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), rank.cast("double") + (same - 1).cast("double") / F.lit(2.0)))
+    """Descending rank, ties share their mean rank, nulls get none: counts of distinct values are summed by ranges and
+    joined back, so no task holds the table."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = running_sums(counts, [-F.col("__value").cast("double")], {"__upto": F.col("__c")})
+    ranks = upto.select("__value", (F.col("__upto").cast("double") - (F.col("__c") - 1).cast("double") / F.lit(2.0)).alias(out))
+    return df.join(ranks, df[column] == ranks["__value"], "left").drop("__value")
 
 
 def consistency(a: DataFrame, b: DataFrame, key: str, value: str, names: tuple[str, str]) -> DataFrame:

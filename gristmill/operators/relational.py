@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DecimalType, MapType, Nume
 
 from ..functions.text import unless_blank
 from ..sources.tables import with_rank
+from .quantiles import quantiles
 
 Order = Sequence[str | Column]
 
@@ -100,8 +101,12 @@ def top_pairs(df: DataFrame, item: str, score: str, k: int) -> DataFrame:
 
 def median_fill(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Nulls and NaNs become the exact median of the column, of ``fit_on`` if given; an all-null column stays."""
+    if not columns:
+        return df
     clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    medians = (fit_on or df).agg(*(F.median(clean(c)).alias(f"__{c}") for c in columns))
+    fit_on = df if fit_on is None else fit_on
+    found = quantiles(fit_on, {c: clean(c) for c in columns}, [0.5])
+    medians = found.agg(*(F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(f"__{c}") for c in columns))
     out = df.crossJoin(F.broadcast(medians))  # one row
     return out.withColumns({c: F.coalesce(clean(c), F.col(f"__{c}")) for c in columns}).drop(*(f"__{c}" for c in columns))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import finite, quantiles
 from .relational import at_least, feature_columns, first_non_null, first_row, flag_on, front, join_features, left_join_first, median_fill, not_in, varying
 
 
@@ -52,11 +53,13 @@ def group_rollup(df: DataFrame, key: str, features: Sequence[str], outcomes: Seq
 
 def describe(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean, median and quartiles of finite values, null where there are none."""
-    x = F.col(column).cast("double")
-    finite = F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
-    q = F.percentile(finite, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*keys).agg(F.avg(finite).alias("mean"), q.alias("q"))
-    return out.select(*keys, "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
+    x = finite(F.col(column))
+    means = df.groupBy(*keys).agg(F.avg(x).alias("mean"))
+    found = quantiles(df, {column: x}, [0.25, 0.5, 0.75], keys).select(*(F.col(k).alias(f"__{k}") for k in keys), "q")
+    on = F.lit(True)
+    for k in keys:
+        on = on & means[k].eqNullSafe(found[f"__{k}"])
+    return means.join(found, on, "left").select(*keys, "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
 
 
 def entropy(df: DataFrame, keys: Sequence[str], weight: str, base: float = 2.0) -> DataFrame:

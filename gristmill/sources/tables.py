@@ -18,8 +18,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all executors share, ``spark.checkpoint.dir``, or without it, in an application of one
     machine, below its warehouse; on a cluster that setting must not be missing."""
@@ -64,40 +62,91 @@ def splits_below(spark: SparkSession, root: str, marker: str = "dataset_info.jso
     return files.select(*(F.element_at(parts, -k).alias(n) for k, n in ((4, "dataset"), (3, "config"), (2, "split"))))
 
 
-def running_sums(df: DataFrame, order: Column, sums: dict[str, Column]) -> DataFrame:
-    """Adds sums over all rows up to each by ``order``, whose values are distinct: ranges in parallel, then each range's
-    offset."""
-    parts = df.select(order.alias("__o"), F.struct(*df.columns).alias("__row"), *(c.cast("long").alias("__v_" + n) for n, c in sums.items()))
-    parts = parts.orderBy("__o").withColumn("__p", F.spark_partition_id())
-    upto = Window.partitionBy("__p").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
-    totals = parts.groupBy("__p").agg(*(F.sum("__v_" + n).alias("__t_" + n) for n in sums))
-    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    totals = totals.select("__p", *(F.coalesce(F.sum("__t_" + n).over(ahead), F.lit(0)).alias("__b_" + n) for n in sums))
-    parts = parts.withColumns({"__s_" + n: F.sum("__v_" + n).over(upto) for n in sums})
-    return parts.join(F.broadcast(totals), "__p").select("__row.*", *((F.col("__s_" + n) + F.col("__b_" + n)).alias(n) for n in sums))
+#: A table gets as many ranges as the session has shuffle partitions times ``RANGES_EACH``, ``MOST_RANGES`` at most; cut
+#: points come from ``SAMPLED`` keys a range.  This bounds what the driver holds: one string of 4,095 keys.
+RANGES_EACH, MOST_RANGES, SAMPLED = 4, 4096, 32
+
+
+def _key(order: Sequence[str | Column]) -> Column:
+    return F.struct(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)))
+
+
+def with_range(df: DataFrame, order: Sequence[str | Column], out: str = "__range") -> DataFrame:
+    """Adds ``__key``, the values of ``order`` as a struct, and ``out``, the number of the range of keys (ascending, nulls
+    first) in which the row lies.
+
+    Cut points are drawn once, here, and are constants of the plan: a row's range is a function of its key alone, the same
+    in every branch of a plan, on every run and retry.  They only balance the ranges; results must not depend on them.
+    A binary search, a projection a step, stays inside generated code.
+    """
+    ranges = min(RANGES_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    drawn = df.select(_key(order).alias("k"), F.rand(17).alias("r")).orderBy("r").limit(ranges * SAMPLED)
+    kind = f"struct<cuts: array<{drawn.schema['k'].dataType.simpleString()}>>"
+    taken = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("all", F.floor(i * F.size("all") / F.lit(ranges)).cast("int")))
+    cuts = drawn.agg(F.array_sort(F.collect_list("k")).alias("all")).select(F.to_json(F.struct(F.array_distinct(taken).alias("cuts"))))  # one row
+    found = F.from_json(F.lit(cuts.first()[0]), kind).getField("cuts")
+    out_of = F.lit(0)
+    rows = df.withColumn("__key", _key(order))
+    for k in reversed(range(ranges.bit_length())):
+        rows = rows.withColumn(out, F.when(F.get(found, out_of + F.lit((1 << k) - 1)) <= F.col("__key"), out_of + F.lit(1 << k)).otherwise(out_of))
+        out_of = F.col(out)
+    return rows
+
+
+def _before(rows: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """__range and group with the sums of ``values`` over the group's smaller ranges, and over the whole group."""
+    sums = rows.groupBy("__range", *groups).agg(*(F.sum(v).alias(v) for v in values))
+    group = Window.partitionBy(*groups)  # a row a range in each
+    ahead = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    made = [x for v in values for x in (F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"__before{v}"), F.sum(v).over(group).alias(f"__whole{v}"))]
+    return sums.select(F.col("__range").alias("__at"), *(F.col(g).alias(f"__of{g}") for g in groups), *made)
+
+
+def _with_before(rows: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    before = _before(rows, groups, values)
+    on = rows["__range"] == before["__at"]
+    for g in groups:
+        on = on & rows[g].eqNullSafe(before[f"__of{g}"])
+    return rows.join(before if groups else F.broadcast(before), on)  # without groups, a row a range
+
+
+def _ranged(df: DataFrame, within: Sequence[str], order: Sequence[str | Column], values: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    groups = [f"__g{i}" for i in range(len(within))]
+    own = [(F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"__o{i}") for i, c in enumerate(order)]
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
+    rows = df.select(whole, *(F.col(f"`{c}`").alias(g) for c, g in zip(within, groups)), *own, *(v.alias(n) for n, v in values.items()))
+    return with_range(rows, [*groups, *(f"__o{i}" for i in range(len(order)))]), groups
+
+
+def _own(df: DataFrame, besides: Sequence[str]) -> list[Column]:
+    return [F.col("__row").getField(c).alias(c) for c in df.columns if c not in besides]
+
+
+def running_sums(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column], within: Sequence[str] = (), totals: dict[str, str] | None = None) -> DataFrame:
+    """Adds sums over the rows of a group up to each by ``order``, whose values are distinct in a group; ``totals`` names
+    columns for the whole group's sums.  Ranges of rows are summed in parallel, so a group may be of any size.  ``df`` is
+    read three times."""
+    rows, groups = _ranged(df, within, order, {f"__v_{n}": c.cast("long") for n, c in sums.items()})
+    upto = Window.partitionBy("__range", *groups).orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _with_before(rows, groups, [f"__v_{n}" for n in sums])
+    made = [(F.sum(f"__v_{n}").over(upto) + F.col(f"__before__v_{n}")).alias(n) for n in sums] + [F.col(f"__whole__v_{n}").alias(out) for n, out in (totals or {}).items()]
+    return rows.select(*_own(df, [*sums, *(totals or {}).values()]), *made)
 
 
 def with_rank(df: DataFrame, within: Sequence[str], order: Sequence[str | Column], out: str, count: str | None = None) -> DataFrame:
-    """Adds the place of each row, from 1, among those of its group, and the group's size; groups of any size are
-    numbered in parallel.  Nulls in ``within`` are a group."""
-    rows = with_row_index(df, [*within, *order])
-    if not within:
-        rows = rows.withColumn(out, F.col("row_index") + 1)
-        return (rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(count)))) if count else rows).drop("row_index")  # one row
-    base = rows.groupBy(*within).agg(F.min("row_index").alias("__base"), F.count(F.lit(1)).alias(count or "__count"))
-    base = base.select(*(F.col(c).alias("__k_" + c) for c in within), "__base", count or "__count")
-    on = [rows[c].eqNullSafe(base["__k_" + c]) for c in within]
-    found = rows.join(base, on).withColumn(out, F.col("row_index") - F.col("__base") + 1)
-    return found.drop("row_index", "__base", "__count", *("__k_" + c for c in within))
+    """Adds the place of each row, from 1, among those of its group by ``order`` (ascending, nulls first), and the group's
+    size.  Ties go by a hash of the whole row, so equal runs give equal places.  Groups of any size are numbered in
+    parallel, by ranges; nulls in ``within`` are a group.  ``df`` is read three times, so stage it if it is costly."""
+    hashed = [F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))]
+    rows, groups = _ranged(df, within, [*order, *hashed], {"__one": F.lit(1)})
+    place = F.row_number().over(Window.partitionBy("__range", *groups).orderBy("__key"))
+    made = [(place + F.col("__before__one")).cast("long").alias(out)] + ([F.col("__whole__one").alias(count)] if count else [])
+    return _with_before(rows, groups, ["__one"]).select(*_own(df, [out, count]), *made)
 
 
 def with_row_index(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Adds row_index, 0, 1, 2, ... by ``order``: ranges in parallel, then each range's offset."""
-    parts = df.select(F.struct(*order).alias("__o"), F.struct(*df.columns).alias("__row")).orderBy("__o").withColumn("__p", F.spark_partition_id())
-    parts = parts.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("__o")))
-    sizes = parts.groupBy("__p").agg(F.max("__i").alias("__n"))
-    base = sizes.select(F.col("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # a row a partition
-    return parts.join(F.broadcast(base), "__p").select("__row.*", (F.col("__b") + F.col("__i") - 1).cast("long").alias("row_index"))
+    return with_rank(df, [], order, "row_index").withColumn("row_index", F.col("row_index") - 1)
 
 
 def row_at(df: DataFrame, index: int) -> DataFrame:
