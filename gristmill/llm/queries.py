@@ -19,6 +19,7 @@ from .sharding import grown, layout, shard_documents
 from .spans import dedup_spans
 from .tokenfile import tokens_on_disk
 from .topk import top_products
+from .trie import prefix_nodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(coded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 OP9_SQL = """
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
@@ -137,13 +142,41 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: CRC-32 byte by byte, its bits by the reflected polynomial.
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda acc, x: list_reduce(list_prepend(xor(acc, x), CAST(range(8) AS BIGINT[])), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+b AS (
+  SELECT k.c, t.n, t.role, t.text FROM k JOIN t ON t.c = k.base AND t.n <= k.h
+  UNION ALL SELECT k.c, t.n + 10, t.role, t.text FROM k JOIN t ON t.c = k.c AND t.n > k.h),
+s AS (SELECT k.c, list((role, text) ORDER BY n) FILTER (WHERE n IS NOT NULL) AS turns FROM k LEFT JOIN b ON b.c = k.c GROUP BY k.c),
+p AS (
+  SELECT c, d, coalesce(turns, [])[1:d] AS node, len(coalesce(turns, [])) AS size, CASE WHEN d > 0 THEN turns[d][2] END AS text
+  FROM (SELECT c, turns, unnest(range(coalesce(len(turns), 0) + 1)) AS d FROM s)),
+g AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n, any_value(text) AS text, string_agg(CASE WHEN size = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends
+  FROM p GROUP BY node, d),
+kids AS (SELECT node[1:d - 1] AS node, count(*) AS kids FROM g WHERE d > 0 GROUP BY 1),
+v AS (SELECT g.*, coalesce(kids, 0) AS kids, (n - 1) * len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')) AS gain FROM g LEFT JOIN kids ON g.node = kids.node),
+below AS (SELECT p.node, CAST(sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS BIGINT) AS leaves, CAST(sum(gain) AS BIGINT) AS saved FROM v JOIN p ON p.c = v.conv_id AND p.d <= v.d GROUP BY p.node)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, below.leaves AS n_leaves, below.saved AS saved_tokens,
+       sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN below ON v.node = below.node LEFT JOIN g u ON v.d > 0 AND u.d = v.d - 1 AND u.node = v.node[1:v.d - 1]
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_retrieval_packing, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op7_minhash_classes, op8_media_columns, op9_line_dedup, op10_quality_classifier,
-        op11_byte_bpe,
+        op11_byte_bpe, op12_prefix_trie,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL, "op12_prefix_trie": OP12_SQL}
