@@ -63,8 +63,8 @@ def splits_below(spark: SparkSession, root: str, marker: str = "dataset_info.jso
 
 
 #: A table gets as many ranges as the session has shuffle partitions times ``RANGES_EACH``, ``MOST_RANGES`` at most; cut
-#: points come from ``SAMPLED`` keys a range.  This bounds what the driver holds: one string of 4,095 keys.
-RANGES_EACH, MOST_RANGES, SAMPLED = 4, 4096, 32
+#: points come from ``SAMPLED`` keys a range.  This bounds what the driver holds: strings of 4,095 keys in all.
+RANGES_EACH, MOST_RANGES, SAMPLED = 2, 4096, 32
 
 
 def _key(order: Sequence[str | Column]) -> Column:
@@ -83,13 +83,17 @@ def with_range(df: DataFrame, order: Sequence[str | Column], out: str = "__range
     drawn = df.select(_key(order).alias("k"), F.rand(17).alias("r")).orderBy("r").limit(ranges * SAMPLED)
     kind = f"struct<cuts: array<{drawn.schema['k'].dataType.simpleString()}>>"
     taken = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("all", F.floor(i * F.size("all") / F.lit(ranges)).cast("int")))
-    cuts = drawn.agg(F.array_sort(F.collect_list("k")).alias("all")).select(F.to_json(F.struct(F.array_distinct(taken).alias("cuts"))))  # one row
-    found = F.from_json(F.lit(cuts.first()[0]), kind).getField("cuts")
-    out_of = F.lit(0)
+    cuts = drawn.agg(F.array_sort(F.collect_list("k")).alias("all")).select(F.array_distinct(taken).alias("cuts"))  # one row
+    levels = list(reversed(range(ranges.bit_length())))
+    # each level of the search looks at cuts of its own, so that the plan holds each cut once
+    level_of = lambda k: F.filter("cuts", lambda x, i: i % (2 << k) == (1 << k) - 1)
+    own = [F.to_json(F.struct(level_of(k).alias("cuts"))) for k in levels]
+    at = F.lit(0)
     rows = df.withColumn("__key", _key(order))
-    for k in reversed(range(ranges.bit_length())):
-        rows = rows.withColumn(out, F.when(F.get(found, out_of + F.lit((1 << k) - 1)) <= F.col("__key"), out_of + F.lit(1 << k)).otherwise(out_of))
-        out_of = F.col(out)
+    for k, found in zip(levels, cuts.select(*own).first()):
+        cut = F.get(F.from_json(F.lit(found), kind).getField("cuts"), F.shiftright(at, k + 1))
+        rows = rows.withColumn(out, F.when(cut <= F.col("__key"), at + F.lit(1 << k)).otherwise(at))
+        at = F.col(out)
     return rows
 
 
