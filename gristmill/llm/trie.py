@@ -1,7 +1,7 @@
 """Prefix trie of conversations: which turns conversations share from their start, and what sharing them saves.
 
 A node is a sequence of first turns; its id is 128 bits, sums of hashes of (place, role, text) along it, so that
-prefix sums by ranges give all ids, however long a conversation.  Nodes with at most a limit of rows in and below them
+prefix sums by blocks give all ids, however long a conversation.  Nodes with at most a limit of rows in and below them
 are light: each topmost light node is the root of a subtrie that lies in one prefix shard.  A shard is a succinct
 level-order trie (LOUDS): one bit a child, a zero a node, and an array of labels; its roll-ups go over the levels
 backwards by ``add.at``.  The heavy nodes above, of which any can have any number of members, are merged by
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import running_sums, with_range, with_rank
+from ..sources.tables import with_rank
 from .common import keep_caches_of, staged
 
 #: Rows of a subtrie at least and at most, and rows of a shard on average at most.
 LEAST_LIGHT, MOST_LIGHT = 64, 65_536
+#: Places of a conversation that are summed in one window, as a power of two; ids of members in one string, likewise.
+BLOCK, BAND = 12, 16
 NODE = ["pos", "p1", "p2"]
 NODES = "pos long, p1 long, p2 long, q1 long, q2 long, least long, parent long, n long, children long, leaves long, saved long, top boolean"
 NOBODY = np.iinfo(np.int64).max
@@ -135,15 +137,28 @@ def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return taken.unionByName(own), convs.select("c", "L")
 
 
+def _sums(rows: DataFrame, values: list[str], down: bool) -> DataFrame:
+    """Adds ``up_<value>``: sums along each conversation (c) up to each place (pos), or down to it.  A long conversation is
+    summed in blocks of places, and the blocks' sums once more."""
+    block, way = F.shiftright("pos", BLOCK), (lambda c: F.desc(c) if down else F.asc(c))
+    rows = rows.withColumn("block", block)
+    inside = Window.partitionBy("c", "block").orderBy(way("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("b_c").orderBy(way("b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    sums = rows.groupBy(F.col("c").alias("b_c"), F.col("block").alias("b")).agg(*(F.sum(v).alias(v) for v in values))
+    sums = sums.select("b_c", "b", *(F.sum(v).over(before).alias(f"before_{v}") for v in values)).where(F.col(f"before_{values[0]}").isNotNull())
+    rows = rows.withColumns({f"up_{v}": F.sum(v).over(inside) for v in values}).join(sums, (F.col("c") == F.col("b_c")) & (F.col("block") == F.col("b")), "left")
+    return rows.withColumns({f"up_{v}": F.col(f"up_{v}") + F.coalesce(f"before_{v}", F.lit(0)) for v in values}).drop("b_c", "b", "block", *(f"before_{v}" for v in values))
+
+
 def _paths(rebuilt: DataFrame, convs: DataFrame) -> DataFrame:
     """A row per conversation and depth, 0 too: the node's id p1, p2, its parent's q1, q2, words of its last text, L."""
     hashes = [F.xxhash64(F.lit(seed), "a", "b", "pos") for seed in (21, 22)]
     lanes = {f"l{i}": F.shiftrightunsigned(hashes[i // 2], 32 * (i % 2)).bitwiseAND(F.lit(MASK)) for i in range(4)}
     rows = rebuilt.select("c", "pos", "L", "words", *(x.alias(n) for n, x in lanes.items()))
-    sums = running_sums(rows, ["pos"], {f"s{i}": F.col(f"l{i}") for i in range(4)}, ["c"])
+    sums = _sums(rows, [*lanes], False)
     half = lambda x: x.bitwiseAND(F.lit(MASK))
     both = lambda f, i: half(f(i)).bitwiseOR(F.shiftleft(half(f(i + 1)), 32))
-    upto, before = (lambda i: F.col(f"s{i}")), (lambda i: F.col(f"s{i}") - F.col(f"l{i}"))
+    upto, before = (lambda i: F.col(f"up_l{i}")), (lambda i: F.col(f"up_l{i}") - F.col(f"l{i}"))
     ids = [both(upto, 0).alias("p1"), both(upto, 2).alias("p2"), both(before, 0).alias("q1"), both(before, 2).alias("q2")]
     zero = F.lit(0).cast("long")
     roots = convs.select("c", zero.alias("pos"), "L", zero.alias("words"), *(zero.alias(x) for x in ("p1", "p2", "q1", "q2")))
@@ -203,16 +218,15 @@ def prefix_nodes(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     none = F.lit(None).cast("long")
     both = path.select("c", *NODE, F.lit(0).cast("long").alias("leaves"), F.lit(0).cast("long").alias("saved")).unionByName(charges.select("c", "pos", none.alias("p1"), none.alias("p2"), "leaves", "saved"))
     both = staged(both.groupBy("c", "pos").agg(F.max("p1").alias("p1"), F.max("p2").alias("p2"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")), "charged_paths")
-    upward = running_sums(both, [-F.col("pos")], {"leaves_below": F.col("leaves"), "saved_below": F.col("saved")}, ["c"])
-    totals = upward.where("p1 IS NOT NULL").groupBy(*NODE).agg(F.sum("leaves_below").alias("leaves"), F.sum("saved_below").alias("saved"))
+    totals = _sums(both, ["leaves", "saved"], True).where("p1 IS NOT NULL").groupBy(*NODE).agg(F.sum("up_leaves").alias("leaves"), F.sum("up_saved").alias("saved"))
 
     columns = [*NODE, "least", "parent", "n", "children", "leaves", "saved"]
     upper = heavy.join(totals, NODE).join(_parent_of("parent", heavy), ["pos", "q1", "q2"], "left").select(*columns)
     lower = nodes.where("NOT top").select(*columns).unionByName(tops.drop("parent").join(_parent_of("parent", heavy), ["pos", "q1", "q2"], "left").select(*columns))
 
-    last = with_range(rows.where(ends).select(*NODE, "c"), [*NODE, "c"]).drop("__key")
-    parts = last.groupBy(*NODE, "__range").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("c")), lambda x: x.cast("string"))).alias("part"))
-    parts = parts.repartition(part, *NODE).sortWithinPartitions(*NODE, "__range").select(*NODE, "part")
+    # a conversation ends once, so a band of ids has a bounded number of ends
+    parts = rows.where(ends).groupBy(*NODE, F.shiftright("c", BAND).alias("band")).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("c")), lambda x: x.cast("string"))).alias("part"))
+    parts = parts.repartition(part, *NODE).sortWithinPartitions(*NODE, "band").select(*NODE, "part")
     digests = parts.mapInArrow(_digests, "pos long, p1 long, p2 long, ends_sha256 string")
     out = upper.unionByName(lower).join(digests, NODE, "left")
     return out.select(

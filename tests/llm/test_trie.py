@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from gristmill.llm import trie
 from gristmill.llm.queries import op12_prefix_trie
 from gristmill.llm.trie import Louds, prefix_nodes
 
@@ -64,7 +65,9 @@ def odd_rows():
 
 
 @pytest.mark.parametrize("light", [3, None])
-def test_odd_rows(spark, light):
+def test_odd_rows(spark, light, monkeypatch):
+    monkeypatch.setattr(trie, "BLOCK", 5)
+    monkeypatch.setattr(trie, "BAND", 3)
     rows = odd_rows()
     df = spark.createDataFrame([(*r, "own", 1, 2) for r in rows], DDL + ", c string, pos int, p1 int")
     assert found(prefix_nodes(df.repartition(7), light=light)) == brute(rows)
@@ -97,18 +100,18 @@ def test_louds_navigates_as_the_tree():
         pos[i], top[i] = (i, i) if up[i] < 0 else (pos[up[i]] + 1, top[up[i]])
     parents = np.where(up[:, None] < 0, 0, ids[up])
     order = rng.permutation(n)
-    trie = Louds(pos[order], ids[order], parents[order], pos[top][order])
-    assert len(trie.bits) == 2 * n + 1 and trie.bits.sum() == n
-    place = {tuple(x): i for i, x in enumerate(trie.labels.tolist())}
-    mine = trie.parents()
+    built = Louds(pos[order], ids[order], parents[order], pos[top][order])
+    assert len(built.bits) == 2 * n + 1 and built.bits.sum() == n
+    place = {tuple(x): i for i, x in enumerate(built.labels.tolist())}
+    mine = built.parents()
     for i in range(n):
         assert mine[place[tuple(ids[i].tolist())]] == (-1 if up[i] < 0 else place[tuple(ids[up[i]].tolist())])
     kids = np.bincount(up[up >= 0], minlength=n)
-    assert [int(trie.children()[place[tuple(x)]]) for x in ids.tolist()] == kids.tolist()
+    assert [int(built.children()[place[tuple(x)]]) for x in ids.tolist()] == kids.tolist()
     size = np.ones(n, np.int64)
     for i in reversed(range(n)):
         if up[i] >= 0:
             size[up[i]] += size[i]
-    assert [int(trie.rolled_up(np.ones(n, np.int64))[place[tuple(x)]]) for x in ids.tolist()] == size.tolist()
+    assert [int(built.rolled_up(np.ones(n, np.int64))[place[tuple(x)]]) for x in ids.tolist()] == size.tolist()
     with pytest.raises(ValueError, match="parent"):
         Louds(np.array([0, 1]), np.array([[1, 1], [2, 2]]), np.array([[0, 0], [9, 9]]), np.array([0, 0]))
