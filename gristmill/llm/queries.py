@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
+from .collocations import collocations
 from .common import staged
 from .linededup import dedup_lines
 from .media import encode_media, media_features
@@ -82,6 +83,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_nodes(table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
@@ -170,13 +175,36 @@ SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n
 FROM v JOIN below ON v.node = below.node LEFT JOIN g u ON v.d > 0 AND u.d = v.d - 1 AND u.node = v.node[1:v.d - 1]
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (
+  SELECT lang, k AS size, ws[i:i + k - 1] AS ph, count(*) AS f FROM i, (SELECT unnest(range(1, 5)) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+c AS (SELECT * FROM f WHERE size >= 2 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (
+  SELECT cuts.lang, cuts.size, cuts.ph, cuts.f AS a, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * cuts.f) // (l.f + r.f) AS score, k
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.ph = cuts.ph[1:k] JOIN f r ON r.lang = cuts.lang AND r.ph = cuts.ph[k + 1:cuts.size]
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.ph ORDER BY score, k) = 1),
+sub AS (
+  SELECT lang, ph[i:i + m - 1] AS ph, max(f) AS by FROM (SELECT lang, size, ph, f, unnest(range(1, size)) AS i FROM c), (SELECT unnest([2, 3]) AS m)
+  WHERE m < size AND i + m - 1 <= size GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.ph, ' ')) AS rank, array_to_string(s.ph, ' ') AS phrase, a, l, r, n.n, CAST(score AS BIGINT) AS score
+FROM s JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang) n ON n.lang = s.lang
+LEFT JOIN sub ON sub.lang = s.lang AND sub.ph = s.ph WHERE sub.by IS NULL OR 100 * sub.by < 80 * a
+QUALIFY rank <= 2000
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_retrieval_packing, op3_token_files, op4_exact_top_k, op5_source_mix, op6_hash_tree_shards, op7_minhash_classes, op8_media_columns, op9_line_dedup, op10_quality_classifier,
-        op11_byte_bpe, op12_prefix_trie,
+        op11_byte_bpe, op12_prefix_trie, op13_collocations,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op9_line_dedup": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_collocations": OP13_SQL}
