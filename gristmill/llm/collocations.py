@@ -22,7 +22,7 @@ from ..sources.tables import with_rank
 from .common import keep_caches_of, staged
 
 #: Words of a shard, bytes of text that are cut into words at a time, 64-bit words of a bitmap (4 MB).
-SHARD, SLICE, BITMAP = 1 << 20, 4 << 20, 1 << 19
+SHARD, SLICE, BITMAP = 1 << 19, 2 << 20, 1 << 19
 DEEPEST = 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -84,22 +84,22 @@ class SuffixAutomaton:
         for d in range(1, depth + 1):
             place = place[room[place] >= d]
             names, klass[place], counts = np.unique(klass[place] * base + words[place - (d - 1)], return_inverse=True, return_counts=True)
-            self.word.append(names % base if base else names)
-            self.parent.append(names // base if base else names)
-            self.counts.append(counts)
+            word, parent = (names % base, names // base) if base else (names, names)
+            for held, x in ((self.word, word), (self.parent, parent), (self.counts, counts)):
+                held.append(x.astype(np.int32))
         self._states()
 
     def _states(self) -> None:
         """Classes to states: a class whose end positions are those of its suffix's class is of the same state."""
         links, longest, counts, self.state = [np.array([-1])], [np.array([0])], [np.array([0])], []
-        above, size = np.zeros(1, np.int64), 1
+        above, size = np.zeros(1, np.int32), 1
         for d, (parent, count) in enumerate(zip(self.parent, self.counts), 1):
             same = (count == self.counts[d - 2][parent]) if d > 1 else np.zeros(len(count), bool)
             mine = above[parent]
             new = np.flatnonzero(~same)
             links.append(mine[new])
             mine = mine.copy()
-            mine[new] = size + np.arange(len(new))
+            mine[new] = size + np.arange(len(new), dtype=np.int32)
             size += len(new)
             longest.append(np.full(len(new), d))
             counts.append(count[new])
@@ -113,7 +113,7 @@ class SuffixAutomaton:
         """All phrases of ``length`` words, first word first, and how often each ends somewhere: a state stands for its
         phrases from the length of its link's longest, plus 1, to its own longest."""
         mine = self.state[length - 1]
-        out = np.empty((len(mine), length), np.int64)
+        out = np.empty((len(mine), length), np.int32)
         at = np.arange(len(mine))
         for k in range(length):
             d = length - 1 - k
@@ -223,6 +223,7 @@ def phrase_counts(shards: DataFrame, lengths: range, words, pairs=None) -> DataF
                     continue
                 good = _has(words.value, hashes)
                 seq = np.where((seq >= 0) & good[seq], seq, -1)
+                pa.default_memory_pool().release_unused()
                 joined = (lambda a, b: _has(pairs.value, _mixed(hashes[a], hashes[b]))) if pairs is not None else None
                 automaton = SuffixAutomaton(seq, deepest, joined)
                 for length in lengths:
