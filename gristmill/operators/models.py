@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import combinations
 from math import log
@@ -17,6 +18,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
 from . import metrics, split, vif
 
 # The search spaces.
@@ -109,12 +111,28 @@ def boosted(df, features, label, kind: str = "classification", seed: int = 42, *
     return _fit(df, features, label, kind, est)
 
 
-def score_of(predicted: DataFrame, label: str, kind: str) -> float:
-    """ROC-AUC, or the negative mean squared error."""
+def scores_by(predicted: DataFrame, label: str, kind: str, keys: Sequence[str]) -> dict[tuple, float]:
+    """ROC-AUC (0.5 with one class), or the negative mean squared error, of each group of predictions, in one pass."""
     if kind == "classification":
-        found = metrics.roc_auc(predicted, label).first()[0]
-        return 0.5 if found is None else found
-    return -(metrics.regression(predicted, label).first()["rmse"] or 0.0) ** 2
+        return {tuple(r[k] for k in keys): 0.5 if r.roc_auc is None else r.roc_auc for r in metrics.roc_auc(predicted, label, keys=keys).collect()}
+    return {tuple(r[k] for k in keys): -((r.rmse or 0.0) ** 2) for r in metrics.regression(predicted, label, keys=keys).collect()}
+
+
+def predictions(df: DataFrame, jobs: Sequence[tuple[dict, Callable[[], tuple]]], label: str, parallel: int = 4) -> DataFrame:
+    """Fits of several models at once, their predictions in one table: ``jobs`` are (keys, make), where ``make`` returns a model and the
+    rows it is to score.  Each is written as soon as it is fit, below one path, its keys as partition columns."""
+    path = scratch(df.sparkSession, "predictions")
+
+    def one(job: tuple[dict, Callable[[], tuple]]) -> str:
+        keys, make = job
+        model, rows = make()
+        place = "/".join([path, *(f"{k}={v}" for k, v in keys.items())])
+        model.predict(rows).select(F.col(label).cast("double").alias(label), "p").write.parquet(place)
+        return place
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        places = list(pool.map(one, jobs))
+    return df.sparkSession.read.option("basePath", path).parquet(*places)
 
 
 def sample(space: Mapping[str, Sequence | tuple], n: int, seed: int) -> list[dict]:
@@ -124,27 +142,40 @@ def sample(space: Mapping[str, Sequence | tuple], n: int, seed: int) -> list[dic
     return [{k: draw(v) for k, v in space.items()} for _ in range(n)]
 
 
-def search(df: DataFrame, features, label, kind: str, fit: Callable[..., Fitted], space: Mapping, n_iter: int = 28, inner: int = 4, seed: int = 42, key: str = "task_id") -> tuple[Fitted, dict, float]:
-    """Random search by inner folds (stratified for classes), then a fit of the best on all rows."""
+def search(
+    df: DataFrame, features, label, kind: str, fit: Callable[..., Fitted], space: Mapping, n_iter: int = 28, inner: int = 4, seed: int = 42, key: str = "task_id", parallel: int = 4
+) -> tuple[Fitted, dict, float]:
+    """Random search by inner folds (stratified for classes), then a fit of the best on all rows.  Candidates are fitted
+    ``parallel`` at a time and all their predictions scored by one grouped job; of equal means the first draw counts."""
     rows = split.folds(df, key, inner, seed, [label] if kind == "classification" else []).persist()
-    best: tuple[float, dict] | None = None
-    for params in sample(space, n_iter, seed):
-        scores = [score_of(fit(rows.where(F.col("fold") != k), features, label, **params).predict(rows.where(F.col("fold") == k)), label, kind) for k in range(inner)]
-        mean = sum(scores) / len(scores)
-        if best is None or mean > best[0]:
-            best = (mean, params)
+    tried = sample(space, n_iter, seed)
+
+    def job(c: int, k: int) -> tuple[dict, Callable[[], tuple]]:
+        return {"candidate": c, "inner": k}, lambda: (fit(rows.where(F.col("fold") != k), features, label, **tried[c]), rows.where(F.col("fold") == k))
+
+    found = scores_by(predictions(df, [job(c, k) for c in range(n_iter) for k in range(inner)], label, parallel), label, kind, ["candidate", "inner"])
     rows.unpersist()
-    return fit(df, features, label, **best[1]), best[1], best[0]
+    means = [sum(found.get((c, k), 0.5 if kind == "classification" else 0.0) for k in range(inner)) / inner for c in range(n_iter)]
+    best = max(range(n_iter), key=lambda c: (means[c], -c))
+    return fit(df, features, label, **tried[best]), tried[best], means[best]
 
 
-def nested(df: DataFrame, features, label, kind: str, fit, space, outer: int = 10, n_iter: int = 28, inner: int = 4, seed: int = 42, key: str = "task_id") -> list[dict]:
-    """Per outer fold the best parameters of a search on the other folds, and the score on the fold."""
-    rows = split.folds(df, key, outer, seed).withColumnRenamed("fold", "__outer")
-    out = []
-    for k in range(outer):
-        model, params, _ = search(rows.where(F.col("__outer") != k), features, label, kind, fit, space, max(6, n_iter // 2), max(2, min(4, inner)), seed + k, key)
-        out.append({"fold": k, "score": score_of(model.predict(rows.where(F.col("__outer") == k)), label, kind), "params": params})
-    return out
+def nested(df: DataFrame, features, label, kind: str, fit, space, outer: int = 10, n_iter: int = 28, inner: int = 4, seed: int = 42, key: str = "task_id", parallel: int = 4) -> list[dict]:
+    """Per outer fold the best parameters of a search on the other folds, and the score on the fold; the outer folds' predictions are
+    scored by one grouped job."""
+    rows = split.folds(df, key, outer, seed).withColumnRenamed("fold", "__outer").persist()
+    chosen: dict[int, dict] = {}
+
+    def job(k: int) -> tuple[dict, Callable[[], tuple]]:
+        def make() -> tuple:
+            model, chosen[k], _ = search(rows.where(F.col("__outer") != k), features, label, kind, fit, space, max(6, n_iter // 2), max(2, min(4, inner)), seed + k, key, parallel)
+            return model, rows.where(F.col("__outer") == k)
+
+        return {"outer": k}, make
+
+    found = scores_by(predictions(df, [job(k) for k in range(outer)], label, 1), label, kind, ["outer"])
+    rows.unpersist()
+    return [{"fold": k, "score": found.get((k,)), "params": chosen[k]} for k in range(outer)]
 
 
 def cross_validated(df: DataFrame, features, label, kind: str, fit, k: int = 5, seed: int = 42, key: str = "task_id", group: str | None = None) -> DataFrame:
@@ -163,21 +194,25 @@ def family_combos(families: Mapping[str, Sequence[str]]) -> list[tuple[str, list
     return [("+".join(c), [f for n in c for f in families[n]]) for k in range(1, len(names) + 1) for c in combinations(names, k)]
 
 
-def ablation(train: DataFrame, test: DataFrame, families: Mapping[str, Sequence[str]], targets: Mapping[str, str], fit: Callable[..., Fitted]) -> list[dict]:
-    """For each target (name to kind) and set of families: metrics on ``test``; a set without features is skipped."""
+def ablation(train: DataFrame, test: DataFrame, families: Mapping[str, Sequence[str]], targets: Mapping[str, str], fit: Callable[..., Fitted], parallel: int = 4) -> list[dict]:
+    """For each target (name to kind) and set of families: metrics on ``test``; a set without features is skipped.  The sets of a
+    target are fitted ``parallel`` at a time and scored together."""
     out = []
     for target, kind in targets.items():
-        for name, columns in family_combos(families):
-            columns = [c for c in columns if c in train.columns]
-            row = {"target": target, "components": name, "n_features": len(columns), "skipped": not columns}
-            if columns:
-                p = fit(train, columns, target, kind=kind).predict(test).persist()
-                if kind == "classification":
-                    row |= {"roc_auc": metrics.roc_auc(p, target).first()[0], "pr_auc": metrics.average_precision(p, target).first()[0], "brier": metrics.brier(p, target).first()[0]}
-                else:
-                    row |= metrics.regression(p, target).first().asDict()
-                p.unpersist()
-            out.append(row)
+        combos = [(name, [c for c in columns if c in train.columns]) for name, columns in family_combos(families)]
+
+        def job(i: int, columns: list[str], target: str = target, kind: str = kind) -> tuple[dict, Callable[[], tuple]]:
+            return {"combo": i}, lambda: (fit(train, columns, target, kind=kind), test)
+
+        jobs = [job(i, columns) for i, (_, columns) in enumerate(combos) if columns]
+        found: dict[int, dict] = {}
+        if jobs:
+            p = predictions(train, jobs, target, parallel)
+            parts = [metrics.ranking_scores(p, target, keys=["combo"]).withColumnRenamed("average_precision", "pr_auc"), metrics.brier(p, target, keys=["combo"])] if kind == "classification" else [metrics.regression(p, target, keys=["combo"])]
+            for part in parts:
+                for r in part.collect():
+                    found.setdefault(r.combo, {}).update({k: v for k, v in r.asDict().items() if k != "combo"})
+        out += [{"target": target, "components": name, "n_features": len(columns), "skipped": not columns, **found.get(i, {})} for i, (name, columns) in enumerate(combos)]
     return out
 
 

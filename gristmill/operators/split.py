@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,43 @@ def inner_folds(n: int, *, groups: int | None = None, smallest_class: int | None
     """How many inner folds the data allow, two at least."""
     limits = [n, *([groups - 1] if groups is not None else []), *([smallest_class] if smallest_class is not None else []), *([rows // 4] if rows is not None else [])]
     return max(2, min(limits))
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42, largest: int = 5_000) -> DataFrame:
+    """fold 0 to k-1 of each row, groups whole, classes spread evenly.
+
+    Groups, the most uneven in their class counts first, go in turn to the fold where the classes' shares over folds then deviate
+    least, of ties to the fold of fewest rows.  The ``largest`` groups are placed one by one; smaller ones are bundled by
+    hash into as many bundles, which are placed like groups, so that the driver holds 2 ``largest`` times the classes
+    numbers whatever the table.  Null groups are one group, null labels one class.
+    """
+    counts = df.groupBy(F.col(group).alias("g"), F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("g").agg(F.sum("n").alias("size"))
+    big = sizes.orderBy(F.desc("size"), F.col("g").cast("string")).limit(largest).select(F.col("g").alias("big"), F.lit(True).alias("own"))
+    named = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("g").cast("string")), F.lit("null")), F.lit(f"|{seed}")))
+    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64(named), F.lit(largest)).cast("string"))
+    units = counts.join(F.broadcast(big), F.col("g").eqNullSafe(F.col("big")), "left")  # ``largest`` rows
+    units = units.withColumn("unit", F.when(F.col("own"), F.concat(F.lit("g"), named)).otherwise(bundle))
+    held: dict[str, dict] = {}
+    for r in units.groupBy("unit", "y").agg(F.sum("n").alias("n")).collect():
+        held.setdefault(r.unit, {})[r.y] = r.n
+    fold_of = _placed(held, k)
+    places = df.sparkSession.createDataFrame(sorted(fold_of.items()), "unit string, fold int")
+    of_group = units.select("g", "unit").distinct().join(F.broadcast(places), "unit").select(F.col("g").alias("__group"), "fold")
+    return df.join(of_group, df[group].eqNullSafe(of_group["__group"])).drop("__group")
+
+
+def _placed(units: dict[str, dict], k: int) -> dict[str, int]:
+    """Units with their class counts to folds, by the greedy rule above."""
+    classes = sorted({y for c in units.values() for y in c}, key=repr)
+    names = sorted(units)
+    counts = np.array([[units[u].get(y, 0) for y in classes] for u in names], float).reshape(len(names), len(classes))
+    whole = np.maximum(counts.sum(0), 1)
+    folds, rows, out = np.zeros((k, len(classes))), np.zeros(k), {}
+    for i in np.lexsort((np.arange(len(names)), -counts.std(1))):
+        spread = [np.std((folds + np.outer(np.arange(k) == f, counts[i])) / whole, axis=0).mean() for f in range(k)]
+        best = min(range(k), key=lambda f: (round(spread[f], 12), rows[f], f))
+        folds[best] += counts[i]
+        rows[best] += counts[i].sum()
+        out[names[i]] = int(best)
+    return out

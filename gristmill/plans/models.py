@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..operators import models, shap
+from ..operators import boosting, models, shap
 from .registry import query, rounded
 
 FEATURES = ["chars", "lines", "words", "marks"]
@@ -43,6 +43,39 @@ def m4_boosted(t):
     return predicted(t, partial(models.boosted, maxIter=10))
 
 
+@query("""
+WITH r AS (
+  SELECT d.doc_id, l.quality AS y, coalesce(d.text, '') AS t FROM documents d JOIN labels l USING (doc_id)),
+v AS (
+  SELECT 0 AS feature, y, CAST(length(t) AS DOUBLE) AS x FROM r UNION ALL SELECT 1, y, len(string_split(t, chr(10))) FROM r
+  UNION ALL SELECT 2, y, len(string_split(t, ' ')) FROM r UNION ALL SELECT 3, y, len(regexp_extract_all(t, '[!|%$*]')) FROM r),
+q AS (SELECT feature, list_distinct(quantile_cont(x, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS cuts FROM v GROUP BY 1),
+b AS (
+  SELECT v.feature, CAST(len(list_filter(cuts, lambda c: c < x)) AS INTEGER) AS bin, sum(m.p - y) AS g, sum(m.p * (1 - m.p)) AS h, count(*) AS n
+  FROM v JOIN q ON v.feature = q.feature, (SELECT avg(y) AS p FROM r) m GROUP BY 1, 2),
+s AS (
+  SELECT *, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER o AS gt, sum(h) OVER o AS ht, sum(n) OVER u AS nl, sum(n) OVER o AS nt
+  FROM b WINDOW u AS (PARTITION BY feature ORDER BY bin), o AS (PARTITION BY feature))
+SELECT feature, bin, n, round(gl, 6) AS gl, round(hl, 6) AS hl,
+       CASE WHEN nl < nt AND hl >= 1 AND ht - hl >= 1 THEN round(0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)), 6) END AS gain
+FROM s""")
+def m4_first_split_gains(t):
+    rows = labelled(t)
+    cuts = boosting.cut_points(rows, FEATURES, 8)
+    mean = rows.agg(F.avg("y").alias("m"))  # one row
+    binned = rows.select(F.col("y").cast("double").alias("y"), *(boosting.bin_of(f, cuts[f]).alias(f"b{i}") for i, f in enumerate(FEATURES))).crossJoin(F.broadcast(mean))
+    binned = binned.withColumn("margin", F.log(F.col("m") / (1 - F.col("m")))).withColumns(boosting.gradients("classification"))
+    gains = boosting.split_gains(boosting.histograms(binned, F.lit(0), range(len(FEATURES))), 1.0, 1.0)
+    return rounded(gains.select("feature", "bin", "n", "gl", "hl", "gain"), "gl", "hl", "gain")
+
+
+@query()
+def m4_second_order(t):
+    rows = labelled(t)
+    model = boosting.boost(rows, FEATURES, "y", trees=4, depth=3, rate=0.3, key="doc_id")
+    return rounded(model.predict(rows).select("doc_id", "y", "p"), "p")
+
+
 @query()
 def m5_search(t):
     rows = labelled(t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
-from ..operators import bands, metrics, ranking
+from ..operators import bands, metrics, quantiles, ranking, relational, split
 from .registry import query, rounded, score
 
 SCORED = "SELECT l.doc_id, l.quality AS y, (d.n_chars % 97) / 97.0 AS p FROM labels l JOIN documents d USING (doc_id)"
@@ -174,3 +174,55 @@ def w5_w6_running_state(t):
     user = F.col("role") == "user"
     rows = ranking.filled(t.conversations, ["conv_id"], "turn", F.when(user, F.col("turn")), "last_user")
     return ranking.running_before(rows, ["conv_id"], "turn", F.when(user, F.length("text")).otherwise(0), "before").select("conv_id", "turn", "before", "last_user")
+
+
+RETURNED = "SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS INTEGER) AS y, CAST(l_extendedprice AS DOUBLE) AS p FROM lineitem"
+
+
+def returned(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_extendedprice").cast("double").alias("p"))
+
+
+@query(f"""
+WITH s AS ({RETURNED}), g AS (SELECT p, sum(y) AS t, count(*) - sum(y) AS f FROM s GROUP BY 1), c AS (SELECT *, sum(t) OVER (ORDER BY p DESC) AS tp FROM g)
+SELECT round(sum(f * (tp - t / 2.0)) / (CAST(sum(t) AS DOUBLE) * sum(f)), 6) AS roc_auc FROM c""")
+def m8_auc_of_prices(t):
+    return rounded(metrics.roc_auc(returned(t)), "roc_auc")
+
+
+@query(f"""
+WITH s AS ({RETURNED}), g AS (SELECT l_linenumber, p, sum(y) AS t, count(*) - sum(y) AS f FROM s GROUP BY 1, 2),
+c AS (SELECT *, sum(t) OVER w AS tp, sum(f) OVER w AS fp, sum(t) OVER (PARTITION BY l_linenumber) AS pos FROM g WINDOW w AS (PARTITION BY l_linenumber ORDER BY p DESC))
+SELECT l_linenumber, round(sum(f * (tp - t / 2.0)) / (CAST(sum(t) AS DOUBLE) * sum(f)), 6) AS roc_auc, round(sum(CAST(t AS DOUBLE) / pos * tp / (tp + fp)), 6) AS average_precision FROM c GROUP BY 1""")
+def m8_m9_scores_by_line(t):
+    return rounded(metrics.ranking_scores(returned(t), keys=["l_linenumber"]), "roc_auc", "average_precision")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS i, CAST(ceil(count(*) OVER () / 4.0) AS BIGINT) AS size FROM lineitem)
+WHERE i >= size AND i < 2 * size""")
+def t8_shard_of_lines(t):
+    return relational.shard(t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_shipdate", "l_orderkey", "l_linenumber"], 1, 4).select("l_orderkey", "l_linenumber")
+
+
+@query(f"""
+WITH s AS ({RETURNED}), n AS (SELECT count(*) AS n, avg(p) AS m FROM s), r AS (SELECT *, row_number() OVER (ORDER BY p, l_orderkey * 10 + l_linenumber) AS r FROM s),
+k AS (SELECT r.*, n.n, n.m, CAST(CASE WHEN n.n * 0.1 - floor(n.n * 0.1) = 0.5 AND CAST(floor(n.n * 0.1) AS BIGINT) % 2 = 0 THEN floor(n.n * 0.1) ELSE round(n.n * 0.1) END AS BIGINT) AS tail FROM r, n)
+SELECT difficulty_band, count(*) AS n, round(sum(p), 2) AS total FROM (SELECT *, CASE WHEN r > n - tail THEN 'easy' WHEN r <= tail THEN 'hard' WHEN abs(p - m) <= 500 THEN 'mid_band' ELSE 'other' END AS difficulty_band FROM k) GROUP BY 1""")
+def w2_bands_of_prices(t):
+    rows = returned(t).withColumn("pos", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    out = ranking.bands(rows, "p", "pos", mid=500).groupBy("difficulty_band").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"))
+    return rounded(out, "total", digits=2)
+
+
+@query(f"""
+WITH s AS ({RETURNED}) SELECT l_linenumber, count(*) AS n, round(quantile_cont(p, 0.05), 6) AS p05, round(quantile_cont(p, 0.5), 6) AS p50, round(quantile_cont(p, 0.95), 6) AS p95 FROM s GROUP BY 1""")
+def g7_quantiles_by_line(t):
+    out = quantiles.quantiles(returned(t), {"p": F.col("p")}, [0.05, 0.5, 0.95], ["l_linenumber"])
+    return rounded(out.select("l_linenumber", "n", *(F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95")))), "p05", "p50", "p95")
+
+
+@query("SELECT source, 1 AS folds, count(*) AS n FROM documents GROUP BY 1")
+def a3_stratified_group_folds(t):
+    out = split.stratified_group_folds(t.documents.select("doc_id", "source", "lang"), "source", "lang", 4)
+    return out.groupBy("source").agg(F.count_distinct("fold").cast("int").alias("folds"), F.count(F.lit(1)).alias("n"))
