@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import ids, paths, text
-from ..operators import behaviour, nlp, patch, rollup, tree
+from ..operators import behaviour, forest, nlp, patch, rollup, tree
 from .registry import query, rounded
 
 DIFF = """diff --git a/src/app.py b/src/app.py
@@ -234,3 +234,24 @@ def f14_f15_repos(t):
     inner = json.dumps({"text": "see https://github.com/c/d/issues/1 and git@github.com:e/f.git", "n": 1})
     rows = [("a", json.dumps({"repo": "a/b", "ds": inner})), ("b", json.dumps([{"instance_id": "o__r.0123abc", "file": "x/y.py", "k": {"id": "me/sweb.eval.x86_64.q", "url": "https://github.com/me/sweb.eval.x86_64.q"}}])), ("c", "{"), ("d", None)]
     return t.spark.createDataFrame(rows, "id string, doc string").select("id", repos_in_json("doc").alias("repos"))
+
+
+@query(r"""
+WITH RECURSIVE s AS (SELECT doc_id, generate_subscripts(p, 1) AS sent, unnest(p) AS piece FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+') AS p FROM documents)),
+w AS (SELECT doc_id, sent, generate_subscripts(x, 1) - 1 AS k, length(unnest(x)) AS size FROM (SELECT doc_id, sent, regexp_extract_all(piece, '[^ \t]+') AS x FROM s)),
+t AS (SELECT doc_id, sent, k, size, CASE WHEN k = 0 THEN 0 ELSE greatest(0, (k - 1) // 2 - size % 2) END AS head FROM w),
+a AS (
+  SELECT doc_id, sent, k, head AS up FROM t WHERE k > 0
+  UNION ALL SELECT a.doc_id, a.sent, a.k, t.head FROM a JOIN t ON t.doc_id = a.doc_id AND t.sent = a.sent AND t.k = a.up WHERE a.up > 0),
+d AS (SELECT t.doc_id, count(a.up) AS depth, count(CASE WHEN a.up > 0 AND u.size > 5 THEN 1 END) AS long_above FROM t LEFT JOIN a ON a.doc_id = t.doc_id AND a.sent = t.sent AND a.k = t.k
+  LEFT JOIN t u ON u.doc_id = a.doc_id AND u.sent = a.sent AND u.k = a.up GROUP BY t.doc_id, t.sent, t.k),
+b AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, sent, k FROM t UNION ALL SELECT doc_id, sent, up FROM a) GROUP BY doc_id, sent, k) GROUP BY 1)
+SELECT d.doc_id, max(depth) AS deepest, CAST(sum(depth) AS BIGINT) AS depths, CAST(sum(long_above) AS BIGINT) AS long_above, any_value(b.most) AS most FROM d JOIN b ON b.doc_id = d.doc_id GROUP BY 1""")
+def f34_f35_ancestor_walks(t):
+    pieces = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^.!?\n]+"), F.lit(0))).alias("sent", "piece"))
+    words = pieces.select("doc_id", "sent", F.posexplode(F.regexp_extract_all("piece", F.lit(r"[^ \t]+"), F.lit(0))).alias("k", "word"))
+    size, k = F.length("word"), F.col("k")
+    tokens = words.select("doc_id", "sent", "k", size.alias("size"), F.when(k == 0, 0).otherwise(F.greatest(F.lit(0), F.floor((k - 1) / 2).cast("int") - size % 2)).alias("head"))
+    above = forest.climb(tokens, ["doc_id", "sent"], "k", F.col("head"), {"long_above": ((F.col("size") > 5) & (F.col("k") > 0)).cast("long")})
+    below = forest.subtree_sums(tokens, ["doc_id", "sent"], "k", F.col("head"), F.lit(1).cast("long"), "n").groupBy("doc_id").agg(F.max("n").alias("most"))
+    return above.groupBy("doc_id").agg(F.max("depth").alias("deepest"), F.sum("depth").alias("depths"), F.sum("long_above").alias("long_above")).join(below, "doc_id")
