@@ -8,7 +8,9 @@ result may still read them.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,8 +51,26 @@ def tasks_for(df: DataFrame) -> int:
     return max(1, -(-size // each)) if size < 1 << 50 else usual
 
 
+#: Names of what the running ``staging`` block has staged; each thread has blocks of its own.
+_OWN: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging() -> Iterator[list[str]]:
+    """Collects the names of all tables that are staged inside, by this thread, for ``drop_staged``."""
+    names: list[str] = []
+    outer = _OWN.set(names)
+    try:
+        yield names
+    finally:
+        _OWN.reset(outer)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    made = f"{name}-{uuid.uuid4().hex}"
+    if (own := _OWN.get()) is not None:
+        own.append(made)
+    return f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}/{made}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -60,10 +80,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free(spark: SparkSession, before: set[str]) -> None:
-    """Remove the staged tables that aren't in ``before``, a result of ``staged_now``; what reads them becomes invalid."""
+def drop_staged(spark: SparkSession, names: Iterable[str]) -> None:
+    """Remove staged tables by name, and no other; what reads them becomes invalid."""
     store, top = _store(spark)
-    for name in staged_now(spark) - before:
+    for name in names:
         store.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top, name), True)
 
 

@@ -130,14 +130,14 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 26, partitions: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 26, partitions: int | None = None, file_docs: int = 1 << 17) -> DataFrame:
     """Writes ids of all texts, each document ended by ``end_id``, in ascending order of id (nulls first,
     ties by a hash of the text), and returns the manifest: one row per file.
 
     Ids are integers or null; null texts are empty; extra columns are not read.  Files have names of
     their own per attempt, and the manifest holds those of tasks that ended well, so retries and
     speculative copies are harmless.  Rows are dealt by range; each task streams its rows to files of
-    about ``file_tokens`` ids.
+    about ``file_tokens`` ids and ``file_docs`` documents at most, which bounds what writers and readers hold.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions or tasks_for(docs), F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
@@ -165,7 +165,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                     out = store.open_output_stream(name, compression=None)
                     writer = TokenWriter(out, enc.dtype.str)
                 writer.add(doc_id, ids)
-                if writer.n_tokens >= file_tokens:
+                if writer.n_tokens >= file_tokens or len(writer.docs) >= file_docs:
                     close()
                     writer, seq = None, seq + 1
         if writer is not None:

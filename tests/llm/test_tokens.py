@@ -186,3 +186,30 @@ def test_documents_by_their_ids(spark, tmp_path):
     got = {r.doc_id: r.tokens for r in fetch_documents(manifest, str(tmp_path), [3, 300, 301, 597]).collect()}
     want = {i: [*np.frombuffer(ENCODER._ids([rows[i // 3][1]])[0], "<u2").tolist(), 0] for i in (3, 300, 597)}
     assert got == want and fetch_documents(manifest, str(tmp_path), []).count() == 0
+
+
+def test_files_hold_a_bounded_number_of_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gristmill.llm.tokenfile import read_token_files, write_token_files
+
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    manifest = write_token_files(docs, f"{tmp_path}/t", partitions=1, file_docs=8)
+    assert sorted(r[0] for r in manifest.select("n_docs").collect()) == [2] + [8] * 6
+    got = read_token_files(manifest, f"{tmp_path}/t").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(i, i, 1) for i in range(50)]
+
+
+def test_only_own_tables_are_dropped(spark):
+    from gristmill.llm.common import drop_staged, staged, staged_now, staging
+
+    other = staged(spark.range(3), "other")
+    with staging() as mine:
+        staged(spark.range(4), "one")
+        with staging() as inner:
+            staged(spark.range(5), "two")
+    staged(spark.range(6), "three")
+    assert len(mine) == len(inner) == 1 and {*mine, *inner} < staged_now(spark)
+    before = staged_now(spark)
+    drop_staged(spark, mine)
+    assert staged_now(spark) == before - set(mine) and other.count() == 3
