@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import free, new_path, staged_now
+from gristmill.llm.common import drop_staged, new_path, staging
 from gristmill.llm.linededup import dedup_lines
 from gristmill.llm.minhash import one_per_class
 from gristmill.llm.mixing import mix_documents
@@ -57,10 +57,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written as Parquet and read again.  What a stage has staged, and
     what it has read, goes once its result is written; the tables of the last stage stay, as the result reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = staged_now(spark)
+    read: list[str] = []
     for name, stage in STAGES[:-1]:
-        path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        free(spark, before | {path.rsplit("/", 1)[1]})
-        docs = spark.read.parquet(path)
+        with staging() as mine:
+            path = new_path(spark, name)
+            stage(spark, docs, sf_dir).write.parquet(path)
+        written = path.rsplit("/", 1)[1]
+        drop_staged(spark, [*read, *(n for n in mine if n != written)])
+        docs, read = spark.read.parquet(path), [written]
     return STAGES[-1][1](spark, docs, sf_dir)
