@@ -25,7 +25,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from .common import CACHES, keep_caches_of
 
 #: Bytes of text that are encoded at a time, characters of a text after which it is cut, cells of a matrix.
-SLICE, LONG_TEXT, CELLS = 8 << 20, 1 << 20, 1 << 19
+SLICE, LONG_TEXT, CELLS = 2 << 20, 1 << 20, 1 << 18
 #: Pieces of more bytes than the widest matrix go through a heap: a merge a round would take the square of the length.
 WIDEST = 256
 NONE = np.int32(np.iinfo(np.int32).max)
