@@ -63,8 +63,8 @@ def safe_name(c: Column) -> Column:
 
 
 def plot_name(c: Column, most: int = 120) -> Column:
-    """Characters beyond letters, digits, dot, dash and underscore become underscores; at most ``most``."""
-    return F.left(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_"), F.lit(most))
+    """Runs of characters beyond word characters of any script, dot and dash become an underscore; at most ``most``."""
+    return F.left(F.regexp_replace(c, r"(?U)[^\w.-]+", "_"), F.lit(most))
 
 
 def matches(c: Column, pattern: str) -> Column:

@@ -207,7 +207,8 @@ def write_manifest(spark: SparkSession, path: str, **entries) -> None:
 
 def cached(spark: SparkSession, path: str, ids: DataFrame, key: str, columns: Sequence[str], make, frozen: Sequence[str] = ()) -> DataFrame:
     """A table kept at ``path``: reused if it has the columns and just the ids, else made anew and returned; rows go by
-    id, not by position.  A new one is written beside the old, which ``make`` may read, and takes its place when whole."""
+    id, not by position.  A new one is written beside the old, which ``make`` may read, and takes its place when whole;
+    the old one is moved aside first and goes last, so that a failure leaves one of them."""
     guard(path, frozen)
     if exists(spark, path):
         df = spark.read.parquet(path)
@@ -218,7 +219,14 @@ def cached(spark: SparkSession, path: str, ids: DataFrame, key: str, columns: Se
     make().write.parquet(aside)
     new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, path))
     store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(old, True)
+    before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    had = store.exists(old)
+    if had and not store.rename(old, before):
+        raise OSError(f"{path} could not be moved aside")
     if not store.rename(new, old):
+        if had:
+            store.rename(before, old)
         raise OSError(f"{aside} could not take the place of {path}")
+    if had:
+        store.delete(before, True)
     return spark.read.parquet(path)

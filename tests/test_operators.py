@@ -283,3 +283,10 @@ def test_cached_table_is_replaced_when_whole(spark, tmp_path):
     with pytest.raises(Exception):
         cached(spark, path, spark.range(9).withColumnRenamed("id", "k"), "k", ["v"], lambda: make(9).selectExpr("k", "raise_error('broken') as v"))
     assert spark.read.parquet(path).count() == 5
+
+
+def test_plot_names_keep_letters_of_any_script(spark):
+    from gristmill.functions.text import plot_name
+
+    df = spark.createDataFrame([("größe / 数 a.b-c_d",), ("x" * 200,), (None,)], "s string")
+    assert [r[0] for r in df.select(plot_name(F.col("s"))).collect()] == ["größe_数_a.b-c_d", "x" * 120, None]
