@@ -1,15 +1,18 @@
-"""Matching runs to source rows: ranked candidate keys in one equi-join, and a blocked fuzzy join."""
+"""Matching runs to source rows: ranked candidate keys in one equi-join, and a blocked fuzzy join of filtered pairs."""
 
 from __future__ import annotations
 
 import difflib
+import json
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from ..functions import ids
 
@@ -41,14 +44,94 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(a=x.casefold(), b=y.casefold()).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+#: Candidates share a rare run of GRAM characters; kinds of runs and of characters are counted in so many hash bins.
+GRAM, GRAM_BINS, LETTER_BINS = 3, 1 << 12, 64
+
+
+def most_edits(length: Column, least: float) -> Column:
+    """How many characters may be in only one of two texts, one of this length, whose ratio is above ``least``."""
+    return F.ceil(length * (2.0 * (1.0 - least) / least) + 1e-9).cast("int")
+
+
+GRAMS = ArrayType(StructType().add("gram", StringType()).add("nth", IntegerType()))
+
+
+@pandas_udf(StructType().add("size", IntegerType()).add("letters", ArrayType(IntegerType())).add("grams", GRAMS))
+def text_parts(texts: pd.Series) -> pd.DataFrame:
+    """Of each casefolded text: its length, its characters by hash bin, and its runs of GRAM characters, the ends marked, equal
+    runs told apart by their number."""
+    rows = []
+    for text in texts.str.casefold():
+        marked, seen, grams = "\x02" * (GRAM - 1) + text + "\x03" * (GRAM - 1), Counter(), []
+        for i in range(len(text) + GRAM - 1):
+            gram = marked[i : i + GRAM]
+            grams.append({"gram": gram, "nth": seen[gram]})
+            seen[gram] += 1
+        rows.append((len(text), np.bincount(np.array([ord(c) % LETTER_BINS for c in text], int), minlength=LETTER_BINS).tolist(), grams))
+    return pd.DataFrame(rows, columns=["size", "letters", "grams"])
+
+
+def _bin(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_BINS)).cast("int")
+
+
+def _rarest(texts: DataFrame, often: Column, least: float) -> DataFrame:
+    """Of distinct (block, text) the parts, with as many of the rarest grams as one unmatched text could break, and one more."""
+    ranked = F.transform("grams", lambda g: F.struct(F.get(often, _bin(g["gram"])).alias("n"), g["gram"].alias("gram"), g["nth"].alias("nth")))
+    return _parts(texts).withColumn("grams", F.slice(F.array_sort(ranked), F.lit(1), GRAM * most_edits(F.col("size"), least) + 1))
+
+
+def _parts(texts: DataFrame) -> DataFrame:
+    return texts.select("block", "text").distinct().withColumn("p", text_parts("text")).select("block", "text", "p.*")
+
+
+def _frequencies(texts: DataFrame) -> Column:
+    """How often each of the GRAM_BINS bins of grams occurs, counted here: a constant array that only orders grams."""
+    seen = _parts(texts).select(F.explode("grams").alias("g")).groupBy(_bin(F.col("g.gram")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.bin: r.n for r in seen.collect()}
+    return F.from_json(F.lit(json.dumps([counts.get(b, 0) for b in range(GRAM_BINS)])), "array<bigint>")
+
+
+def near_texts(left: DataFrame, right: DataFrame, least: float = 0.97) -> DataFrame:
+    """Distinct pairs (block, q, c) of texts of two tables (block, text) that may have a ratio above ``least``; no pair of such
+    a ratio is missing.
+
+    A ratio above ``least`` leaves less than ``1 - least`` of both texts' characters unmatched.  So the lengths differ
+    little; nearly all characters, counted by kind, are in both; and as each unmatched one breaks at most ``GRAM`` runs,
+    one of the rarest runs of either is among the rarest of the other.  Candidates come from an
+    equi-join by block and rare run, so a block is no unit of work; the bounds on a pair are column expressions.  Where ``least`` is too
+    low for the argument about runs, texts of a block meet by the other bounds alone.
+    """
+    often = _frequencies(right)
+    asked, ours = _rarest(left, often, least), _rarest(right, often, least)
+    a = asked.select("block", F.col("text").alias("q"), F.col("size").alias("a_size"), F.col("letters").alias("a_letters"), F.col("grams").alias("g"))
+    c = ours.select("block", F.col("text").alias("c"), F.col("size").alias("c_size"), F.col("letters").alias("c_letters"), F.col("grams").alias("g"))
+    whole = F.col("a_size") + F.col("c_size")
+    near = (2.0 * F.least("a_size", "c_size") > least * whole - 1e-9) | (whole == 0)
+    if GRAM * 2.0 * (1.0 - least) / least < 1.0:
+        by_run = lambda t: t.withColumn("g", F.explode("g")).withColumns({"gram": F.col("g.gram"), "nth": F.col("g.nth")}).drop("g")
+        x, y = by_run(a), by_run(c)
+        kept = (x["block"] == y["block"]) & (x["gram"] == y["gram"]) & (x["nth"] == y["nth"]) & near
+        pairs = x.join(y, kept).select(x["block"], "q", "c", "a_size", "c_size", "a_letters", "c_letters")
+    else:
+        x, y = a.drop("g"), c.drop("g")
+        pairs = x.join(y, (x["block"] == y["block"]) & near).select(x["block"], "q", "c", "a_size", "c_size", "a_letters", "c_letters")
+    common = F.aggregate(F.zip_with("a_letters", "c_letters", lambda m, n: F.least(m, n)), F.lit(0), lambda s, n: s + n)
+    return pairs.where((2.0 * common > least * whole - 1e-9) | (whole == 0)).select("block", "q", "c").distinct()
+
+
 def fuzzy(rows: DataFrame, row: str, query: Column, block: Column, base: DataFrame, candidate: Column, base_block: Column, least: float = 0.97) -> DataFrame:
     """(row, row_index, ratio): within equal blocks the candidate of the greatest ratio above ``least``, of ties the
-    first.  Only rows without a cheaper match should come here; blocks keep pairs few."""
-    left = rows.select(row, query.alias("q"), block.alias("block")).where("q is not null and block is not null")
-    right = base.select("row_index", candidate.alias("c"), base_block.alias("block")).where("c is not null and block is not null")
-    pairs = left.join(right, "block").withColumn("ratio", similarity_ratio("q", "c")).where(F.col("ratio") > least)
+    first.  Rows and candidates of a null text or block match nothing.  Equal texts of a block are compared once, and only
+    those that ``near_texts`` pairs."""
+    left = rows.select(row, query.alias("text"), block.alias("block")).where("text is not null and block is not null")
+    right = base.select("row_index", candidate.alias("text"), base_block.alias("block")).where("text is not null and block is not null")
+    right = right.groupBy("block", "text").agg(F.min("row_index").alias("row_index"))
+    pairs = near_texts(left, right, least).withColumn("ratio", similarity_ratio("q", "c")).where(F.col("ratio") > least)
+    found = pairs.join(right.withColumnRenamed("text", "c"), ["block", "c"])
     best = F.min_by(F.struct("row_index", "ratio"), F.struct(-F.col("ratio"), F.col("row_index")))
-    return pairs.groupBy(row).agg(best.alias("m")).select(row, "m.row_index", "m.ratio")
+    found = found.groupBy("block", F.col("q").alias("text")).agg(best.alias("m"))
+    return left.join(found, ["block", "text"]).select(row, "m.row_index", "m.ratio")
 
 
 def resolve_commits(runs: DataFrame, base: DataFrame, owners: Sequence[str] = ()) -> DataFrame:
