@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import RUN_SUFFIX, missing_text, py_strip
+from .text import RUN_SUFFIX, first_text, missing_text, py_strip
 
 # The forms that identifiers have.
 INCOMPLETE = r"_incomplete_\d{8}_\d{6}$"
@@ -104,6 +104,25 @@ def mirror_commit(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, HEX8, 1))
 
 
+def base_of(source: Column, kinds: Mapping[str, str], mirror_owner: str, commits: Sequence[Column]) -> tuple[Column, Column]:
+    """Repository and commit of a run's base row, by its source's kind; '' for sources of no kind and for what is missing.
+
+    "instance" rows give ``repo`` and the first of ``commits`` that has text; "mirror" rows encode both in ``instance_id``;
+    "commit" rows give ``repo_name``, or else what the run's ``trajectory_id`` begins with, and ``commit_hash``.
+    """
+    none, instance = F.lit(""), first_text(F.col("instance_id"))
+    by_kind = {
+        "instance": (first_text(F.col("repo")), first_text(*commits)),
+        "mirror": (mirror_repo(instance, mirror_owner), mirror_commit(instance)),
+        "commit": (F.coalesce(F.nullif(first_text(F.col("repo_name")), none), F.substring_index("trajectory_id", "_", 1), none), first_text(F.col("commit_hash"))),
+    }
+    repo, commit = none, none
+    for name, kind in kinds.items():
+        repo = F.when(source == name, by_kind[kind][0]).otherwise(repo)
+        commit = F.when(source == name, by_kind[kind][1]).otherwise(commit)
+    return repo, commit
+
+
 def repo_commit(repo: Column, commit: Column) -> Column:
     """Struct (repo, commit), commit in lower case: as given for a slug with a commit; else decoded from
     ``org__repo.sha`` with a commit given going first; else as given."""

@@ -1,9 +1,10 @@
-"""Cascades, fuzzy and prefix joins over inline rows, with expected rows."""
+"""Cascades, fuzzy and prefix joins, over the tables and over inline rows with expected rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..operators import matching
 from .registry import query
 
@@ -51,3 +52,36 @@ def j19_sha_prefix(t):
     trees = [("o/r", "abcdef12345", "o__r__abcdef12345.json.gz"), ("o/r", "abcdef1", "o__r__abcdef1.json.gz"), ("o/q", "abcdef1", "x.json.gz")]
     wanted = [("o/r", "ABCDEF1"), ("o/r", "abcdef123"), ("o/r", "abc"), ("o/r", ""), ("o/s", "abcdef1")]
     return matching.find_trees(t.spark.createDataFrame(wanted, "repo string, commit string"), t.spark.createDataFrame(trees, "repo string, commit_sha string, file string"))
+
+
+@query()
+def j14_near_urls(t):
+    """Each page's address, as if over https and without what follows the path, with the most similar one of its host."""
+    url = F.regexp_replace(F.regexp_replace("url", "^http:", "https:"), "[?#].*$", "")
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    base = t.pages.select(F.col("page_id").alias("row_index"), "url")
+    return matching.fuzzy(t.pages, "page_id", url, host, base, F.col("url"), host, 0.9).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, ['commits', 'mirror', 'instances', 'other'][1 + turn % 4] AS source, left(md5(text), 10) AS sha, regexp_extract(lower(text), '[a-z]+') AS w FROM conversations),
+i AS (SELECT *, CASE WHEN w = '' THEN NULL WHEN conv_id % 7 = 0 THEN 'org' || w ELSE 'org__' || w || CASE WHEN conv_id % 3 = 0 THEN '' ELSE '.' || sha || '.x' END END AS instance_id,
+ CASE WHEN conv_id % 2 = 0 THEN ' ' ELSE w END AS repo_name FROM r)
+SELECT conv_id, turn, source, CASE source WHEN 'instances' THEN trim('o/' || w) WHEN 'mirror' THEN CASE WHEN instance_id IS NULL OR NOT contains(instance_id, '__') THEN ''
+ ELSE 'mirrors/org__' || w || CASE WHEN conv_id % 3 = 0 THEN '' ELSE '.' || left(sha, 8) END END
+ WHEN 'commits' THEN CASE WHEN trim(repo_name) <> '' THEN trim(repo_name) ELSE 'run' || conv_id END ELSE '' END AS base_repo,
+ CASE source WHEN 'instances' THEN sha WHEN 'mirror' THEN lower(coalesce(regexp_extract(instance_id, '[0-9a-fA-F]{8,40}'), '')) WHEN 'commits' THEN sha ELSE '' END AS base_commit FROM i""")
+def f12_base_by_source(t):
+    w, conv = F.regexp_extract(F.lower("text"), "[a-z]+", 0), F.col("conv_id")
+    rows = t.conversations.select(
+        "conv_id", "turn", F.element_at(F.array(*map(F.lit, ("commits", "mirror", "instances", "other"))), (F.col("turn") % 4 + 1).cast("int")).alias("source"), F.left(F.md5("text"), F.lit(10)).alias("sha"), w.alias("w")
+    )
+    tail = F.when(conv % 3 == 0, "").otherwise(F.concat(F.lit("."), "sha", F.lit(".x")))
+    instance = F.when(F.col("w") == "", None).when(conv % 7 == 0, F.concat(F.lit("org"), "w")).otherwise(F.concat(F.lit("org__"), "w", tail))
+    rows = rows.withColumns({
+        "instance_id": instance, "repo_name": F.when(conv % 2 == 0, " ").otherwise(F.col("w")), "repo": F.concat(F.lit("o/"), "w"),
+        "base_commit": F.lit(" "), "commit": F.lit(None).cast("string"), "commit_hash": F.col("sha"), "trajectory_id": F.concat(F.lit("run"), conv, F.lit("_x_y")),
+    })
+    kinds = {"commits": "commit", "mirror": "mirror", "instances": "instance"}
+    repo, commit = ids.base_of(F.col("source"), kinds, "mirrors", [F.col("base_commit"), F.col("commit"), F.col("sha")])
+    return rows.select("conv_id", "turn", "source", repo.alias("base_repo"), commit.alias("base_commit"))

@@ -409,3 +409,30 @@ def a8_effect_preselection(t):
 @query("SELECT l_suppkey, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ORDER BY 1, 2 LIMIT 500")
 def t10_capped_pairs(t):
     return relational.capped_pairs(t.lineitem, "l_suppkey", "l_partkey", 500)
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS churn, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS present FROM lineitem GROUP BY 1),
+r AS (SELECT o_custkey AS task, o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS ok, o_totalprice AS price, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_acctbal END AS balance,
+  -o_totalprice AS other, n, churn, o_orderpriority AS split, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE c_mktsegment || (o_orderkey % 2) END AS repo
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN l ON l_orderkey = o_orderkey WHERE present <> 0 AND o_orderpriority <> '5-LOW'),
+a AS (SELECT task, avg(ok) AS pass_rate, count(*) AS n_runs, CAST(sum(ok) AS BIGINT) AS n_success, arg_min(repo, k) FILTER (WHERE repo IS NOT NULL) AS base_repo FROM r GROUP BY 1),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY task ORDER BY k) = 1)
+SELECT CAST(task AS VARCHAR) AS task_id, CAST(k AS VARCHAR) AS trajectory_id, split AS cf_split, k AS cf_row_index, base_repo, round(pass_rate, 6) AS pass_rate, n_runs, n_success,
+ CAST(n_success >= 1 AS INTEGER) AS any_success, CAST(pass_rate >= 0.5 AS INTEGER) AS maj_success, round(price, 6) AS prompt_price, round(other, 6) AS prompt_price_repo,
+ round(coalesce(balance, (SELECT median(balance) FROM f)), 6) AS repo_balance, CAST(n AS DOUBLE) AS patch_lines, round(churn, 6) AS patch_churn FROM f JOIN a USING (task)""")
+def g1_task_table(t):
+    """The task table as a whole: orders are runs of a customer's task, lines are the patch, priorities the splits."""
+    key = F.col("o_orderkey").cast("string").alias("trajectory_id")
+    task, reward = F.col("o_custkey").cast("string").alias("task_id"), F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "P", 0.5).alias("reward")
+    prompt = t.orders.select(key, task, reward, F.col("o_totalprice").alias("prompt_price"), F.lit(1).alias("prompt_constant"))
+    of = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    balance = F.when(F.col("c_nationkey") % 5 != 0, F.col("c_acctbal")).alias("repo_balance")
+    repo = of.select(key, balance, (-F.col("o_totalprice")).alias("prompt_price"), F.lit(None).cast("double").alias("repo_null"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("trajectory_id"))
+    patch = lines.agg(F.count(F.lit(1)).alias("patch_lines"), F.sum("l_quantity").alias("patch_churn"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("patch_present"))
+    name = F.when(F.col("o_orderkey") % 3 != 0, F.concat("c_mktsegment", (F.col("o_orderkey") % 2).cast("string"))).alias("base_repo")
+    mapping = of.select(key, F.col("o_orderpriority").alias("cf_split"), F.col("o_orderkey").alias("cf_row_index"), name)
+    mapping = mapping.unionByName(mapping.withColumns({"cf_split": F.lit("~"), "base_repo": F.lit("second")}))  # of rows of one id the first counts
+    out = rollup.task_level(prompt, repo, patch, mapping, F.col("cf_row_index"), ["5-LOW"])
+    return rounded(out, "pass_rate", "prompt_price", "prompt_price_repo", "repo_balance", "patch_churn")

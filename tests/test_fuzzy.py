@@ -63,3 +63,18 @@ def test_blocks_nulls_and_empty_tables(spark):
     assert [tuple(r) for r in matching.fuzzy(left, "id", *args, right, *args).collect()] == [(1, 3, 1.0)]
     assert matching.fuzzy(left.limit(0), "id", *args, right, *args).count() == 0
     assert matching.fuzzy(left, "id", *args, right.limit(0), *args).count() == 0
+
+
+def test_urls_of_the_query(spark, sf):
+    import re
+
+    from gristmill.plans import proxy
+
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    host = lambda u: re.match("https?://([^/]+)", u).group(1)
+    got = {r.page_id: r.row_index for r in proxy.queries()["j14_near_urls"](spark, sf).collect()}
+    want = {}
+    for page, url in pages:
+        plain = re.sub("[?#].*$", "", re.sub("^http:", "https:", url))
+        want[page] = best(plain, sorted((i, u) for i, u in pages if host(u) == host(url)), 0.9)
+    assert got == {i: w for i, w in want.items() if w is not None}
