@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,3 +124,18 @@ def token_count(tokenizer):
         return texts.map(lambda t: len(encode(t)) if t else 0).astype("int32")
 
     return count
+
+
+@lru_cache(maxsize=4)
+def _ranked(path: str, pattern: str):
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def byte_pairs(path: str, pattern: str):
+    """For ``token_count``: byte-level pairs by a file of ranks (a token in base64 and its rank a line), read once a worker from
+    a path that all have; ``pattern`` splits a text first.  Names of special tokens are plain text."""
+    return lambda: _ranked(path, pattern).encode_ordinary

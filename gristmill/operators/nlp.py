@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, jaccard, py_strip
+from . import forest
 from .ranking import adjacent
 from .rollup import reuse
 
@@ -22,6 +23,7 @@ COORDINATION = ("cc", "conj")
 MODIFIER = ("amod", "compound", "poss", "nmod")
 COMPETING = (*MODIFIER, *COORDINATION, "prep", "mark", *CLAUSE)
 NOUN, VERB = ("NOUN", "PROPN"), ("VERB", "AUX")
+BEFORE_NOUN = ("det", "amod", "compound", "poss", "nummod", "nmod")
 DEEPEST = 512
 
 
@@ -204,7 +206,7 @@ def lemma_overlaps(tokens: DataFrame) -> DataFrame:
     """Mean and least Jaccard similarity of lemma sets of neighbouring sentences, 0 for two empty ones."""
     real = ~F.col("is_stop") & ~F.col("is_space") & ~F.col("is_punct")
     lemma = F.nullif(F.lower(py_strip(F.col("lemma"))), F.lit(""))
-    sets = tokens.groupBy("doc_id", "sent_id").agg(F.collect_set(F.when(real, lemma)).alias("lemmas"))
+    sets = tokens.groupBy("doc_id", "sent_id").agg(F.collect_set(F.when(real, lemma)).alias("lemmas"), F.bool_or(~F.col("is_space")).alias("__said")).where("__said")
     out = adjacent(sets, ["doc_id"], "sent_id", jaccard, "lemmas")
     return out.select("doc_id", F.col("mean").alias("prompt_adjacent_lemma_overlap_mean"), F.col("min").alias("prompt_adjacent_lemma_overlap_min"))
 
@@ -215,6 +217,58 @@ def sentence_similarities(vectors: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("mean").alias("prompt_sentence_embedding_sim_mean"), F.col("min").alias("prompt_sentence_embedding_sim_min"))
 
 
+def noun_chunks(tokens: DataFrame) -> DataFrame:
+    """(doc_id, start, end): the run of tokens up to each noun or pronoun that isn't itself a modifier of a later token, as far
+    as tokens lead to it by links of modifiers to later heads; a token that doesn't, a blank one too, ends the run."""
+    inner = F.col("dep").isin(*BEFORE_NOUN) & (F.col("head_i") > F.col("i"))
+    owned = forest.climb(tokens, ["doc_id"], "i", F.when(inner, F.col("head_i"))).select(F.col("doc_id").alias("__d"), F.col("i").alias("__i"), "root")
+    heads = tokens.where(F.col("pos").isin(*NOUN, "PRON")).select("doc_id", F.col("i").alias("root"))
+    rows = owned.join(heads, owned["__d"].eqNullSafe(heads["doc_id"]) & (owned["root"] == heads["root"])).select("doc_id", F.col("__i").alias("i"), heads["root"])
+    back = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy(F.desc("i")))
+    island = rows.withColumn("__n", back).where(F.col("i") + F.col("__n") == F.col("root") + 1)
+    return island.groupBy("doc_id", "root").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end")).drop("root")
+
+
+def mention_spans(tokens: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """(doc_id, start, end, root_pos, key) of each distinct span: noun chunks, and ``entities`` (doc_id, start, end) of any
+    recogniser.  A key is the lower-cased lemmas, in order, of the words that aren't stop words, else all words' texts; a
+    span's root is its first token with a head outside."""
+    spans = noun_chunks(tokens)
+    if entities is not None:
+        spans = spans.unionByName(entities.select("doc_id", "start", "end"))
+    places = spans.distinct().withColumn("__i", F.explode(F.sequence("start", F.col("end") - 1))).withColumnRenamed("doc_id", "__d")
+    inside = places.join(tokens, places["__d"].eqNullSafe(tokens["doc_id"]) & (places["__i"] == tokens["i"]))
+    top = (F.col("head_i") == F.col("i")) | (F.col("head_i") < F.col("start")) | (F.col("head_i") >= F.col("end"))
+    joined = lambda c, kept: F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("i", F.lower(c).alias("w"))))), lambda x: x["w"]))
+    found = inside.groupBy("doc_id", "start", "end").agg(
+        F.min_by(F.when(top, F.col("pos")), F.when(top, F.col("i"))).alias("root_pos"), joined("lemma", F.col("is_alpha") & ~F.col("is_stop")).alias("lemmas"), joined("text", F.col("is_alpha")).alias("words")
+    )
+    return found.select("doc_id", "start", "end", "root_pos", py_strip(F.coalesce(F.nullif("lemmas", F.lit("")), "words")).alias("key"))
+
+
+def prompt_features(docs: DataFrame, tokens: DataFrame, count=None, vectors: DataFrame | None = None, entities: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+    """doc_id and the 33 prompt metrics of each row of ``docs`` (doc_id, distinct, and a text): 0 for what a document
+    lacks, and all 0 for a blank or null text.  ``count`` is a function from a text column to its number of tokens
+    (``text.token_count``), ``vectors`` has (doc_id, sent_id, vector), ``entities`` (doc_id, start, end)."""
+    blank = py_strip(F.coalesce(F.col(text_col), F.lit(""))) == ""
+    size = (count(F.col(text_col)) if count else F.lit(0)).cast("double")
+    out = docs.select("doc_id", (~blank).alias("__said"), F.when(~blank, size).otherwise(0.0).alias("prompt_len_bpe"))
+    parts = [document_metrics(tokens), lemma_overlaps(tokens), mention_reuse(mention_spans(tokens, entities))]
+    if vectors is not None:
+        parts.insert(2, sentence_similarities(vectors))
+    for part in parts:
+        named = part.withColumnRenamed("doc_id", "__d")
+        out = out.join(named, out["doc_id"] == named["__d"], "left").drop("__d")
+    zero = F.lit(0.0)
+    return out.select("doc_id", *(F.when(F.col("__said"), F.coalesce(F.col(n).cast("double"), zero)).otherwise(zero).alias(n) if n in out.columns else zero.alias(n) for n in prompt_names()))
+
+
+def prompt_names() -> list[str]:
+    """The 33 names, in order."""
+    similar = [f"prompt_{what}_{how}" for what in ("adjacent_lemma_overlap", "sentence_embedding_sim") for how in ("mean", "min")]
+    return ["prompt_len_bpe", *metric_names("prompt"), *similar, "prompt_entity_reuse_ratio", "prompt_coref_chain_len_mean"]
+
+
 def mention_reuse(mentions: DataFrame) -> DataFrame:
     """From (doc_id, start, end, root_pos, key): spans once each, without pronouns and empty keys."""
     real = mentions.dropDuplicates(["doc_id", "start", "end"]).where((F.coalesce(F.col("root_pos"), F.lit("")) != "PRON") & (F.col("key") != ""))

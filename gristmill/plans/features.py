@@ -219,7 +219,10 @@ def f32_sentences_of_documents(t):
 
 @query()
 def f23_token_count(t):
-    return t.documents.select("doc_id", text.token_count(lambda: str.split)("text").alias("n"))
+    import public_tokenizers
+
+    count = text.token_count(text.byte_pairs(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return t.documents.select("doc_id", count("text").alias("n"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -255,3 +258,32 @@ def f34_f35_ancestor_walks(t):
     above = forest.climb(tokens, ["doc_id", "sent"], "k", F.col("head"), {"long_above": ((F.col("size") > 5) & (F.col("k") > 0)).cast("long")})
     below = forest.subtree_sums(tokens, ["doc_id", "sent"], "k", F.col("head"), F.lit(1).cast("long"), "n").groupBy("doc_id").agg(F.max("n").alias("most"))
     return above.groupBy("doc_id").agg(F.max("depth").alias("deepest"), F.sum("depth").alias("depths"), F.sum("long_above").alias("long_above")).join(below, "doc_id")
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, generate_subscripts(p, 1) AS sent, unnest(p) AS piece FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+') AS p FROM documents)),
+w AS (SELECT doc_id, sent, len(x) AS n, generate_subscripts(x, 1) AS k, unnest(x) AS word FROM (SELECT doc_id, sent, regexp_extract_all(piece, '[^ \t]+') AS x FROM s)),
+t AS (SELECT *, length(word) AS size, length(word) % 3 <> 0 AND k < n AS inner_link, regexp_full_match(word, '[A-Za-z]+') AS alpha FROM w),
+o AS (SELECT *, min(CASE WHEN NOT inner_link THEN k END) OVER (PARTITION BY doc_id, sent ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS root FROM t),
+m AS (SELECT doc_id, sent, root, count(*) AS words, max(CASE WHEN k = root THEN size END) AS size, coalesce(string_agg(lower(word), ' ' ORDER BY k) FILTER (WHERE alpha AND size > 3), string_agg(lower(word), ' ' ORDER BY k) FILTER (WHERE alpha), '') AS key
+  FROM o GROUP BY 1, 2, 3),
+c AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(words) AS BIGINT) AS n_words FROM m WHERE size % 5 <> 0 GROUP BY 1),
+u AS (SELECT doc_id, key, count(*) AS c FROM m WHERE size % 5 <> 0 AND size % 7 <> 0 AND key <> '' GROUP BY 1, 2),
+r AS (SELECT doc_id, round(sum(c - 1) / sum(c), 6) AS reuse, round(avg(c), 6) AS chain, arg_max(key, (c, key)) AS most FROM u GROUP BY 1)
+SELECT c.doc_id, n_spans, n_words, reuse, chain, most FROM c LEFT JOIN r ON r.doc_id = c.doc_id""")
+def g19_f31_mentions(t):
+    """Words that modify the next one by their lengths, and what they modify, as noun chunks; their keys by document."""
+    pieces = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^.!?\n]+"), F.lit(0))).alias("sent_id", "piece"))
+    words = pieces.select("doc_id", "sent_id", F.regexp_extract_all("piece", F.lit(r"[^ \t]+"), F.lit(0)).alias("x")).select("doc_id", "sent_id", F.size("x").alias("n"), F.posexplode("x").alias("k", "text"))
+    size, i = F.length("text"), F.col("sent_id").cast("long") * F.lit(1 << 32) + F.col("k")
+    link = (size % 3 != 0) & (F.col("k") < F.col("n") - 1)
+    pos = F.when(size % 5 == 0, "VERB").when(size % 7 == 0, "PRON").otherwise("NOUN")
+    tokens = words.select(
+        "doc_id", i.alias("i"), F.when(link, i + 1).otherwise(i).alias("head_i"), F.when(link, "amod").otherwise("ROOT").alias("dep"), pos.alias("pos"), F.lower("text").alias("lemma"), "text",
+        F.col("text").rlike("^[A-Za-z]+$").alias("is_alpha"), (size <= 3).alias("is_stop"),
+    )
+    spans = nlp.mention_spans(tokens)
+    whole = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("n_words"))
+    reuse = nlp.mention_reuse(spans).select("doc_id", F.col("prompt_entity_reuse_ratio").alias("reuse"), F.col("prompt_coref_chain_len_mean").alias("chain"))
+    most = spans.where("root_pos <> 'PRON' AND key <> ''").groupBy("doc_id", "key").count().groupBy("doc_id").agg(F.max_by("key", F.struct("count", "key")).alias("most"))
+    return rounded(whole.join(reuse, "doc_id", "left").join(most, "doc_id", "left"), "reuse", "chain")
