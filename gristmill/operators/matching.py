@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from ..functions import ids
+from ..functions.text import py_strip
 
 
 def index_by(df: DataFrame, key: Column, row: str = "row_index", last: bool = False) -> DataFrame:
@@ -173,7 +174,8 @@ def resolve_instances(runs: DataFrame, base: DataFrame, second: DataFrame | None
 def find_trees(wanted: DataFrame, trees: DataFrame) -> DataFrame:
     """(repo, commit) to the first file, by name, of a snapshot of the repository with a compatible sha; the file of
     just that commit goes first."""
-    have = trees.select("repo", "commit_sha", "file")
-    pairs = wanted.join(have, "repo").where(ids.sha_compatible(F.col("commit_sha"), F.col("commit")))
+    start = lambda c: F.left(F.lower(py_strip(F.col(c))), F.lit(ids.SHORTEST_SHA))  # noqa: E731  compatible ones begin alike
+    have = trees.select("repo", "commit_sha", "file", start("commit_sha").alias("__start"))
+    pairs = wanted.withColumn("__start", start("commit")).join(have, ["repo", "__start"]).where(ids.sha_compatible(F.col("commit_sha"), F.col("commit")))
     order = F.struct((F.lower(F.trim("commit_sha")) != F.lower(F.trim("commit"))).alias("other"), F.col("file"))
     return pairs.groupBy("repo", "commit").agg(F.min_by("file", order).alias("file"))

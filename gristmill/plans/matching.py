@@ -8,38 +8,6 @@ from ..functions import ids
 from ..operators import matching
 from .registry import query
 
-SHA = "0123456789abcdef0123456789abcdef01234567"
-
-
-def base(t):
-    rows = [("Org__Repo.12ab34cd.pr_7", 0), ("org__repo.12ab34cd.pr_7", 1), ("org__repo.12ab34cd.fix_a", 2), ("x__y.99aa88bb.z", 3)]
-    return t.spark.createDataFrame(rows, "instance_id string, row_index long")
-
-
-@query("""SELECT * FROM (VALUES ('org__repo.12ab34cd.pr_7_run1', 1::BIGINT, 0), ('Org__Repo_12ab34cd_pr_7_run2', 1, 1), ('ORG__repo_12ab34cd_fix_a', 2, 2), ('q__repo_12ab34cd__other_run3', 0, 3))
- AS v(trajectory_id, row_index, step)""")
-def j12_mirror_cascade(t):
-    runs = [("org__repo.12ab34cd.pr_7_run1",), ("Org__Repo_12ab34cd_pr_7_run2",), ("ORG__repo_12ab34cd_fix_a",), ("q__repo_12ab34cd__other_run3",), ("none",), (None,)]
-    return matching.resolve_mirrors(t.spark.createDataFrame(runs, "trajectory_id string"), base(t))
-
-
-@query(f"SELECT * FROM (VALUES ('aio_{SHA}_run1', 0::BIGINT, 0), ('owner_cov_final_{SHA}_run2', 2, 1)) AS v(trajectory_id, row_index, step)")
-def j11_commit_cascade(t):
-    rows = [(SHA.upper(), "AIO", 0), (SHA, "aio", 1), (SHA, "cov", 2)]
-    table = t.spark.createDataFrame(rows, "commit_hash string, repo_name string, row_index long")
-    runs = [(f"aio_{SHA}_run1", "me/aio_final:x"), (f"owner_cov_final_{SHA}_run2", "me/else:x"), ("no_commit", "me/aio:x"), (None, "me/aio:x")]
-    return matching.resolve_commits(t.spark.createDataFrame(runs, "trajectory_id string, image string"), table, ["owner"])
-
-
-@query("""SELECT * FROM (VALUES ('a__b-1_run1', 0, 0::BIGINT, 0), ('zz', 0, 1, 1), ('long-owner__with-a-long-name-of-repository-1234567x', 0, 2, 2), ('c__d-5', 1, 0, 0)) AS v(trajectory_id, source, row_index, step)""")
-def j13_j14_instance_cascade(t):
-    kind = "instance_id string, row_index long"
-    one = t.spark.createDataFrame([("a__b-1", 0), ("Own__Rep-2", 1), ("long-owner__with-a-long-name-of-repository-1234567", 2), ("c__d-6", 3)], kind)
-    two = t.spark.createDataFrame([("c__d-5", 0)], kind)
-    runs = [("a__b-1_run1", ""), ("zz", "sweb.eval.x86_64.own_1776_rep-2"), ("long-owner__with-a-long-name-of-repository-1234567x", None), ("c__d-5", None), ("none", None)]
-    return matching.resolve_instances(t.spark.createDataFrame(runs, "trajectory_id string, image string"), one, two)
-
-
 @query("SELECT source AS key, min(doc_id) AS first_at, max(doc_id) AS last_at FROM documents WHERE source <> '' GROUP BY 1")
 def j15_first_and_last(t):
     rows = t.documents.select("source", F.col("doc_id").alias("row_index"))
@@ -47,13 +15,6 @@ def j15_first_and_last(t):
     return first.join(matching.index_by(rows, F.col("source"), last=True).withColumnRenamed("row_index", "last_at"), "key")
 
 
-@query("SELECT * FROM (VALUES ('o/r', 'ABCDEF1', 'o__r__abcdef1.json.gz'), ('o/r', 'abcdef123', 'o__r__abcdef1.json.gz')) AS v(repo, commit, file)")
-def j19_sha_prefix(t):
-    trees = [("o/r", "abcdef12345", "o__r__abcdef12345.json.gz"), ("o/r", "abcdef1", "o__r__abcdef1.json.gz"), ("o/q", "abcdef1", "x.json.gz")]
-    wanted = [("o/r", "ABCDEF1"), ("o/r", "abcdef123"), ("o/r", "abc"), ("o/r", ""), ("o/s", "abcdef1")]
-    return matching.find_trees(t.spark.createDataFrame(wanted, "repo string, commit string"), t.spark.createDataFrame(trees, "repo string, commit_sha string, file string"))
-
-
 @query()
 def j14_near_urls(t):
     """Each page's address, as if over https and without what follows the path, with the most similar one of its host."""
