@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import derived, features, matching, models, relations, scores  # noqa: F401  they register queries
+from . import derived, features, matching, models, plots, relations, scores  # noqa: F401  they register queries
 from .registry import QUERIES, SQL
 
 
